@@ -3,7 +3,9 @@
 Every source gets a word budget; a budget of several times the source's own size first takes
 complete epochs of it, and the remaining fraction is a weighted sample without replacement: each
 document draws the exponential key ``-ln(u) / weight`` with ``u`` hashed from its id, the source is
-ordered by key, and the prefix whose word counts reach the remainder is taken.
+ordered by key, and the prefix whose word counts reach the remainder is taken; of the document in
+which the budget ends, the words up to it are taken, so that a source misses its target by less
+than one word.
 
 No task ever holds a source: keys fall into ``BUCKETS`` ordered buckets a source, bucket sizes are
 summed map-side, and only the one bucket in which a source's budget ends is ordered row by row.
@@ -67,9 +69,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = MAX_EPOCHS) -> DataFra
 def mix(documents: DataFrame, weights=WEIGHTS, weight: Column | None = None) -> DataFrame:
     """Return doc_id, source, size, source_size, target, taken for every row of ``documents``.
 
-    Needs doc_id, text, source. ``taken`` is the words the mix takes of the row, repeats counted: a
-    multiple of ``size``, at most three times it. A source's last document is taken if that brings
-    the source nearer its target. Null or blank text has size 0 and takes 0; a null source is a
+    Needs doc_id, text, source. ``taken`` is the words the mix takes of the row, repeats counted: at
+    most three times ``size``, and a multiple of it but for the one row in which a budget ends. Null or blank text has size 0 and takes 0; a null source is a
     source of its own; repeated rows draw the same key and count each by itself; a null id draws the
     key of the empty string. An empty table gives an empty result. Other columns are ignored.
     """
@@ -97,10 +98,11 @@ def mix(documents: DataFrame, weights=WEIGHTS, weight: Column | None = None) ->
     ).select("r.doc_id", "r.source", "r.size", "r.key", "r.bucket", "p.source_size", "p.target", "p.epochs", "p.gap", "p.words")
     inside = (F.col("gap") > 0) & (F.col("gap") < F.col("words"))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = found.where(~inside).withColumn("again", (F.col("gap") >= F.col("words")).cast("long"))
-    split = found.where(inside).withColumn("again", (F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2 <= F.col("gap")).cast("long"))
+    reach = F.floor("gap") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    whole = found.where(~inside).withColumn("more", F.when(F.col("gap") >= F.col("words"), F.col("size")).otherwise(F.lit(0)))
+    split = found.where(inside).withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), reach)))
     return whole.unionByName(split).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("again"))).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("more")).cast("long").alias("taken")
     )
 
 
@@ -130,6 +132,6 @@ ordered AS (
     coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM rows r JOIN budget b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * epochs + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
 FROM ordered
 """

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing
+from attesta.llm import mixing, pii, secrets
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op5_secrets": secrets.op5_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 

@@ -60,3 +60,7 @@ def joined(all_spans: Column) -> Column:
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def of_kind(all_spans: Column, kind: str) -> Column:
+    return F.filter(all_spans, lambda s: s["kind"] == kind)
