@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing, pii, secrets
+from attesta.llm import graph, mixing, packing, pii, secrets, topk, warc
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op3_topk": topk.op3_topk,
+    "op4_neighbours": graph.op4_neighbours,
     "op5_secrets": secrets.op5_secrets,
+    "op6_packing": packing.op6_packing,
+    "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op3_topk": topk.SQL,
+    "op9_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
 }
