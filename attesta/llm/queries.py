@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from attesta.llm import graph, mixing, packing, pii, secrets, topk, warc
+from attesta.llm import graph, langid, mixing, packing, pii, quality, secrets, topk, warc
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_pii": pii.op2_pii,
     "op3_topk": topk.op3_topk,
     "op4_neighbours": graph.op4_neighbours,
     "op5_secrets": secrets.op5_secrets,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
 }
