@@ -67,3 +67,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use inside ``body``; lambdas would evaluate it anew for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Rows of narrow keys up to which a table may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 400_000
+
+
+def sized(small: DataFrame, rows: int) -> DataFrame:
+    """``small``, marked for broadcast if its counted ``rows`` of a few numbers each allow that."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small

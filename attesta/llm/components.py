@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         current = staged(_small(_large(current).distinct()).distinct(), "edges")
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
         seen = state

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import staged, table
+from attesta.llm.common import sized, staged, table
 from attesta.llm.components import components
 from attesta.llm.shingles import mixed, shingle_sets
 
@@ -34,8 +34,6 @@ PERCENT = 80
 FREQUENT, FREQUENT_SUM = 1 << 20, 8
 #: Tokens of a unit of work, about.
 UNIT_TOKENS = 2_000_000
-#: Rows up to which the node -> unit table is broadcast instead of joined by a shuffle.
-BROADCAST_ROWS = 400_000
 #: Bits of the filter that tells the set pass which documents are in units.
 FILTER_BITS = 1 << 25
 
@@ -99,7 +97,7 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
                     held += len(s)
             if held > 2_000_000:
                 totals, parts, held = merged(), [], 0
-                if len(totals[0]) > 8_000_000:  # bounded: what has been met once only is let go
+                if len(totals[0]) > 4_000_000:  # bounded: what has been met once only is let go
                     more = totals[1] > 1
                     totals = totals[0][more], totals[1][more]
         values, count = merged()
@@ -109,8 +107,7 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 
     local = documents.select("text").mapInArrow(run, "token long, n long")
     rows = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SUM).orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token")
-    found = rows.toArrow().column(0).to_numpy() if rows.schema else np.zeros(0, np.int64)
-    return np.sort(np.asarray(found, np.int64).view(np.uint64))
+    return np.sort(np.asarray(rows.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
 
 
 def candidate_edges(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -178,9 +175,6 @@ class _Filter:
         for place in self._places(ids):
             np.bitwise_or.at(self.bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
 
-    def __contains__(self, ids) -> np.ndarray:
-        raise TypeError("use has()")
-
     def has(self, ids: np.ndarray) -> np.ndarray:
         a, b = self._places(ids)
         return ((self.bits[a >> 3] >> (a & 7)) & (self.bits[b >> 3] >> (b & 7)) & 1).astype(bool)
@@ -277,7 +271,7 @@ def links(documents: DataFrame, dealt: DataFrame, members: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "tokens"])
 
     sets = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets_of, "rep long, node long, tokens binary")
-    dealt = F.broadcast(dealt) if members <= BROADCAST_ROWS else dealt
+    dealt = sized(dealt, members)
     # Repeated ids may bring other texts under a representative's id: both must agree.
     rows = sets.join(dealt, ["rep", "node"]).select("unit", "node", "tokens")
 
@@ -316,12 +310,32 @@ def join(documents: DataFrame) -> DataFrame:
     return named.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """``documents``, all columns, with one row of each component: that of its smallest doc_id.
+
+    Rows without words and rows with a null doc_id all stay; of repeated rows of one id the first in
+    order of text stays.
+    """
+    found = staged(join(documents), "components")
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
+    kept = documents.join(sized(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = staged(again, "again")
+    once = kept.join(again, F.col("doc_id") == F.col("__gone"), "left_anti")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    twice = kept.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return once.unionByName(twice)
+
+
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+
 SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
 sets AS (
@@ -329,7 +343,11 @@ sets AS (
     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS s
   FROM w),
 tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
-shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*)))
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
 """

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WORD, staged, table
+from attesta.llm.common import WORD, sized, staged, table
 
 BUCKETS = 4096
 WEIGHTS = (1, 2, 3)
@@ -106,6 +106,15 @@ def mix(documents: DataFrame, weights=WEIGHTS, weight: Column | None = None) ->
     )
 
 
+def apply(documents: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """``documents``, all columns, each row as often as the mix takes it; a row cut by its budget stays if half of it is within."""
+    taken = staged(mix(documents, weights), "taken")
+    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0")
+    columns = documents.columns
+    joined = documents.join(sized(copies, taken.count()), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 

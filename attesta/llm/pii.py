@@ -202,11 +202,12 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def redact(documents: DataFrame, model=None) -> DataFrame:
-    """``documents`` with the same columns, personal data in ``text`` replaced by its kind."""
+    """``documents`` with the same columns, personal data in ``text`` replaced by its kind; ``n_chars``, if there, follows."""
     model = fit(documents) if model is None else model
     text = F.col("text")
     new = let(F.concat(*base_spans(text)), lambda b: redacted(text, F.concat(b, added_spans(text, b, model))))
-    return documents.withColumn("text", F.when(text.isNotNull(), new))
+    out = documents.withColumn("text", F.when(text.isNotNull(), new))
+    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from attesta.llm.common import held_out, table
 
@@ -132,7 +133,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
 
 def _described(rows: DataFrame, names: list[str]) -> DataFrame:
     """``names`` and ``features`` of each row's ``text``."""
-    schema = rows.select(*names).schema.add("features", "array<double>")
+    schema = rows.select(*names).schema.add("features", ArrayType(DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
