@@ -1,12 +1,13 @@
 """Exact Jaccard join of word-shingle sets at 0.8, with set-relation skipping.
 
-Candidates. Two linked sets share a token among the first ``n - ceil(0.8 n) + 1`` of each in any common
-order of tokens. The order is: rare tokens by hash, then frequent ones by hash; tokens count as frequent if
-several sets of one partition hold them and enough do in all, so that passages shared by many documents
-leave the prefixes. The order decides only cost, never results, so the list of frequent tokens may be (and
-is) bounded. Runs of compatible sizes in a token's list become candidate edges, and connected components of
-those become units of work; large components are split by size class and then into block pairs, so that no
-task grows with the corpus.
+Candidates. In any common order of tokens, the first ``k`` tokens that two linked sets share are among the
+first ``n - ceil(0.8 n) + k`` of each. With ``k`` growing with the set, a pair must meet in ``k`` lists, which
+chance and shared passages do not bring about. The order is: rare tokens by hash, then frequent ones by
+hash; tokens count as frequent if several sets of one partition hold them and enough do in all. The order
+decides only cost, never results, so the list of frequent tokens may be (and is) bounded. Pairs are counted
+over the lists of up to ``SHORT`` sets; in a longer list, runs of compatible sizes become candidate edges
+as they are, so that no list is squared. Connected components of the candidate edges become units of work;
+large components are split by size class and then into block pairs, so that no task grows with the corpus.
 
 Verification. A unit holds its sets in an inverted index whose lists are ordered by set size. A set's
 overlaps with all others are counted from the lists of its tokens, skipping to the positions of
@@ -31,7 +32,9 @@ from attesta.llm.shingles import mixed, shingle_sets
 #: Linked if 100 * |intersection| >= 80 * |union|.
 PERCENT = 80
 #: Frequent tokens passed to the workers at most (8 bytes each), and the sum of local counts that makes one.
-FREQUENT, FREQUENT_SUM = 1 << 20, 8
+FREQUENT, FREQUENT_SUM = 1 << 20, 4
+#: Sets of a list whose pairs are counted one by one, and tokens of a set for each list in which a partner must be met.
+SHORT, PER_MEETING = 64, 30
 #: Tokens of a unit of work, about.
 UNIT_TOKENS = 2_000_000
 #: Bits of the filter that tells the set pass which documents are in units.
@@ -44,9 +47,14 @@ def node_of(tokens: np.ndarray) -> int:
     return int((mixed(np.add.reduce(parts, keepdims=True) ^ np.uint64(len(tokens))) ^ np.bitwise_xor.reduce(parts)).view(np.int64)[0])
 
 
+def meetings(n):
+    """``k`` for a set of ``n`` tokens: a linked partner shares so many of their prefixes' tokens (the smaller set's count)."""
+    return 1 + n // PER_MEETING
+
+
 def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     n = len(tokens)
-    size = n - (-(-PERCENT * n // 100)) + 1
+    size = n - (-(-PERCENT * n // 100)) + meetings(n)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
@@ -111,27 +119,40 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 
 
 def candidate_edges(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Distinct (a, b): in a list of sets sharing a prefix token, each set with the first of its run of compatible sizes."""
+    """Distinct (a, b): pairs that meet often enough in short lists, and in each long list every set with the
+    first of its run of compatible sizes."""
     hot = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        seen: set[int] = set()  # equal sets of a partition enter once
         for _, sets in _texts(batches, 0):
-            sets = [s for s in sets if len(s)]
-            if sets:
-                tokens = [prefix(s, hot.value) for s in sets]
+            named = {node_of(s): s for s in sets if len(s)}
+            named = {k: s for k, s in named.items() if k not in seen}
+            seen.update(named)
+            if named:
+                tokens = [prefix(s, hot.value) for s in named.values()]
                 times = [len(t) for t in tokens]
-                names = np.array([node_of(s) for s in sets], np.int64)
-                sizes = np.array([len(s) for s in sets], np.int32)
+                sizes = np.array([len(s) for s in named.values()], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(names, times)), pa.array(np.repeat(sizes, times))], names=["token", "node", "n"]
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(list(named), np.int64), times)), pa.array(np.repeat(sizes, times))], names=["token", "node", "n"]
                 )
 
     entries = documents.select("text").mapInArrow(run, "token long, node long, n int")
+    lists = entries.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
+    # Short lists: bounded arrays, all pairs of compatible sizes, smaller set first.
+    members = F.array_sort(F.collect_set(F.struct("n", "node")))
+    short = lists.where(F.col("sets") <= SHORT).groupBy("token").agg(members.alias("m"))
+    pairs = F.flatten(
+        F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SHORT)), lambda y: 100 * x["n"] >= PERCENT * y["n"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("n"))))
+    )
+    met = short.select(F.explode(pairs).alias("p")).select("p.*").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+    near = met.where(F.col("met") >= 1 + F.floor(F.col("n") / PER_MEETING)).select("a", "b")
     order = Window.partitionBy("token").orderBy("n", "node")
     before = F.lag("n").over(order)
     fresh = before.isNull() | (100 * before < PERCENT * F.col("n"))
     head = F.last(F.when(F.col("fresh"), F.col("node")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return entries.withColumn("fresh", fresh).withColumn("head", head).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    runs = lists.where(F.col("sets") > SHORT).withColumn("fresh", fresh).withColumn("head", head).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return near.unionByName(runs).distinct()
 
 
 def units(members: DataFrame) -> DataFrame:
