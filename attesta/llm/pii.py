@@ -23,15 +23,16 @@ KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 
 # Fixed formats, with possessive runs and a start that no earlier character could extend: the same
-# leftmost matches, without trying a long run again from each of its characters.
+# leftmost matches, without trying a long run again from each of its characters, and without the
+# recursion that a backtracking group would need for every repetition.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?[0-9]){15,}"
+CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 # Generators.
 LOOSE_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]?(?:@|\bat\b)[\])]?\x20?[A-Za-z0-9-]++(?:\x20?[\[(]?(?:\.|\bdot\b)[\])]?\x20?[A-Za-z0-9-]++)++"
-LOOSE_NUMBER = r"(?<![0-9A-Za-z])[0-9(](?:[\x20().,/-]{0,2}[0-9]){7,}(?![0-9A-Za-z])"
+LOOSE_NUMBER = r"(?<![0-9A-Za-z])[0-9(](?:[\x20().,/-]{0,2}+[0-9]){7,}+(?![0-9A-Za-z])"
 
 MAIL_WORDS = r"(?i)(?:mail|contact|write)"
 PHONE_WORDS = r"(?i)(?:phone|tel|call|fax|mobile|dial)"

@@ -2,13 +2,17 @@
 
 The reader plans partitions as byte ranges of whole files, pushes predicates on the record type and on
 named headers into the scan, parses the headers of a record first and seeks over payloads that no
-selected column or passed predicate needs.
+selected column or passed predicate needs. Records are gzip members of their own, with the skip length
+of the WARC standard's annex in the member's extra field, so that a payload is skipped without inflating it;
+plain files and members without a skip length are read too.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +57,79 @@ def record(record_type: str, uri: str, record_id: str, refers_to: str | None, pa
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes) -> bytes:
+    """``data`` as a gzip member that says its own compressed and uncompressed length."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    total = 10 + 2 + 12 + len(body) + 8
+    if max(total, len(data)) >= 1 << 32:
+        return b"\x1f\x8b\x08\x00" + bytes(5) + b"\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, total, len(data))
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+class _Plain:
+    """A record's bytes, read from ``at`` on as far as they are asked for."""
+
+    def __init__(self, file, at: int, lead: bytes):
+        self.file, self.at, self.data = file, at, lead
+
+    def upto(self, n: int) -> bytes:
+        """At least the first ``n`` bytes, where the file has them."""
+        if len(self.data) < n:
+            self.data += self.file.read_at(n - len(self.data), self.at + len(self.data))
+        return self.data
+
+    def next(self, length: int) -> int:
+        return self.at + length
+
+    def find(self, mark: bytes, start: int) -> int:
+        n = 2048
+        while (found := self.upto(start + n).find(mark, start)) < 0:
+            if len(self.data) < start + n:
+                raise ValueError("a record's headers do not end")
+            n *= 4
+        return found
+
+
+class _Zipped(_Plain):
+    def __init__(self, file, at: int, lead: bytes):
+        super().__init__(file, at, b"")
+        self.inflate, self.rest, self.pos = zlib.decompressobj(31), lead, at + len(lead)
+        self.length = None
+        if lead[3] & 4:
+            fields, i = lead[12 : 12 + struct.unpack_from("<H", lead, 10)[0]], 0
+            while i + 4 <= len(fields):
+                size = struct.unpack_from("<H", fields, i + 2)[0]
+                if fields[i : i + 2] == b"sl" and size == 8:
+                    self.length = struct.unpack_from("<I", fields, i + 4)[0]
+                i += 4 + size
+
+    def _step(self, most: int) -> bool:
+        if self.inflate.eof:
+            return False
+        if not self.rest:
+            self.rest = self.file.read_at(1 << 16, self.pos)
+            self.pos += len(self.rest)
+            if not self.rest:
+                return False
+        self.data += self.inflate.decompress(self.rest, most)
+        self.rest = self.inflate.unconsumed_tail
+        return True
+
+    def upto(self, n: int) -> bytes:
+        while len(self.data) < n and self._step(n - len(self.data)):
+            pass
+        return self.data
+
+    def next(self, length: int) -> int:
+        if self.length is not None:
+            return self.at + self.length
+        while self._step(1 << 20):
+            self.data = b""
+        return self.pos - len(self.inflate.unused_data)
+
+
 def _one_line(text: str | None) -> str:
     """A header value holds no line ends; others of its characters stay."""
     return "".join("%%%02X" % ord(c) if c in "\r\n%" else c for c in text or "")
@@ -73,7 +150,7 @@ class _Range(InputPartition):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)`` of uncompressed .warc files."""
+    """``spark.read.format("warc").load(folder)`` of .warc and .warc.gz files."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,7 +190,7 @@ class WarcReader(DataSourceReader):
         store, folder = filesystem(self.path)
         scheme = self.path.partition("://")[0] + "://" if "://" in self.path else ""
         found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-        return [_Range(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".warc")] or [_Range("")]
+        return [_Range(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))] or [_Range("")]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         if not partition.path:
@@ -123,37 +200,26 @@ class WarcReader(DataSourceReader):
             yield from self._records(file)
 
     def _records(self, file) -> Iterator[tuple]:
-        at, end, ahead, base = 0, file.size(), b"", 0
+        at, end = 0, file.size()
         while at < end:
-            # Headers first: read on until the blank line.
-            ahead, base = self._window(file, ahead, base, at, 2048)
-            while (stop := ahead.find(b"\r\n\r\n", at - base)) < 0:
-                ahead = ahead + file.read_at(1 << 16, base + len(ahead))
-            head = dict(self._header(line) for line in ahead[at - base : stop].decode("utf-8", "replace").split("\r\n")[1:])
-            block, length = base + stop + 4, int(head["content-length"])
-            at = block + length + 4
+            lead = file.read_at(1 << 13, at)
+            found = (_Zipped if lead[:2] == b"\x1f\x8b" else _Plain)(file, at, lead)
+            stop = found.find(b"\r\n\r\n", 0)
+            head = dict(self._header(line) for line in found.data[:stop].decode("utf-8", "replace").split("\r\n")[1:])
+            block, length = stop + 4, int(head["content-length"])
             for name in ("warc-record-id", "warc-refers-to"):
                 if name in head:
                     head[name] = head[name].strip("<>")
-            if any(head.get(name) not in values for name, values in self.wanted.items()):
-                continue
-            ahead, base = self._window(file, ahead, base, block, min(length, 1024))
-            http_end = ahead.find(b"\r\n\r\n", block - base) + 4
-            http = dict(self._header(line) for line in ahead[block - base : http_end - 4].decode("utf-8", "replace").split("\r\n")[1:])
-            skip = base + http_end - block
-            payload = None
-            if self.decode and "payload" in self.columns and head["warc-type"] == "response":
-                payload = file.read_at(length - skip, block + skip) if length > skip else b""
-            values = {column: head.get(name) for column, name in HEADERS.items()}
-            values |= {"payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "payload_bytes": int(http["content-length"]), "payload": payload}
-            yield tuple(values[c] for c in self.columns)
-
-    @staticmethod
-    def _window(file, ahead: bytes, base: int, at: int, n: int) -> tuple[bytes, int]:
-        """At least ``n`` bytes from ``at`` on, as far as the file has them."""
-        if base <= at and at + n <= base + len(ahead):
-            return ahead, base
-        return file.read_at(max(n, 1 << 14), at), at
+            if all(head.get(name) in values for name, values in self.wanted.items()):
+                http_end = found.find(b"\r\n\r\n", block) + 4
+                http = dict(self._header(line) for line in found.data[block : http_end - 4].decode("utf-8", "replace").split("\r\n")[1:])
+                payload = None
+                if self.decode and "payload" in self.columns and head["warc-type"] == "response":
+                    payload = bytes(found.upto(block + length)[http_end : block + length])
+                values = {column: head.get(name) for column, name in HEADERS.items()}
+                values |= {"payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "payload_bytes": int(http["content-length"]), "payload": payload}
+                yield tuple(values[c] for c in self.columns)
+            at = found.next(block + length + 4)
 
     @staticmethod
     def _header(line: str) -> tuple[str, str]:
@@ -184,7 +250,7 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return sized.join(twice, ["digest", "n"], "left").select("page_id", "url", "html", "first_id")
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = True) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) below ``path``; returns file, records after running.
 
     Null html is an empty payload, a null url an empty target; a null page_id gets an id without a
@@ -211,12 +277,13 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
         for batch in batches:
             for number, url, html, first in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if out is None:
-                    names.append(f"{name}-{n:03d}.warc")
+                    names.append(f"{name}-{n:03d}.warc.gz" if compress else f"{name}-{n:03d}.warc")
                     out, n = store.open_output_stream(f"{folder}/{names[-1]}"), n + 1
                 payload = (html.as_py() or "").encode()
                 number, first = number.as_py(), first.as_py()
                 again = first is not None and number != first
                 text = record("revisit" if again else "response", _one_line(url.as_py()), record_id(number), record_id(first) if again else None, digest(payload), None if again else payload, len(payload))
+                text = member(text) if compress else text
                 out.write(text)
                 count, size = count + 1, size + len(text)
                 if size >= FILE_BYTES:
@@ -227,11 +294,11 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     return deduplicated(pages, least_bytes).select("page_id", "url", "html", "first_id").mapInArrow(run, "file string, records long")
 
 
-def archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def archive(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = True) -> None:
     """Run ``write`` and remove the files of attempts that did not finish."""
     from pyarrow import fs
 
-    kept = {r["file"] for r in write(pages, path, least_bytes).select("file").collect()}
+    kept = {r["file"] for r in write(pages, path, least_bytes, compress).select("file").collect()}
     store, folder = filesystem(path)
     for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
         if f.type == fs.FileType.File and f.base_name not in kept:
