@@ -180,13 +180,15 @@ def find(documents: DataFrame, model=None) -> DataFrame:
     """``documents`` with ``base`` and ``added`` (arrays of kind, start, end, match), fitted on itself by default.
 
     Null text counts as empty and has no spans. Repeated rows and documents with equal texts each get
-    the same spans; an empty table gives an empty result; other columns pass through. Offsets are
+    the same spans; an empty table gives an empty result; other columns pass through, but for some named ``base`` or
+    ``added``, which the new ones replace. Offsets are
     code points, end exclusive. Long texts are searched whole.
     """
     model = fit(documents) if model is None else model
     text = _whole(F.col("text"))
     found = let(text, lambda t: let(F.concat(*base_spans(t)), lambda b: F.struct(b.alias("base"), added_spans(t, b, model).alias("added"))))
-    return documents.withColumn("__found", found).select("*", "__found.base", "__found.added").drop("__found")
+    kept = [c for c in documents.columns if c not in ("base", "added")]
+    return documents.select(*kept, found.alias("__found")).select(*kept, "__found.base", "__found.added")
 
 
 def redacted(text: Column, found: Column) -> Column:

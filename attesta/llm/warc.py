@@ -111,11 +111,12 @@ class _Zipped(_Plain):
         if not self.rest:
             self.rest = self.file.read_at(1 << 16, self.pos)
             self.pos += len(self.rest)
-            if not self.rest:
-                return False
-        self.data += self.inflate.decompress(self.rest, most)
+        # Without more input there can still be output that an earlier limit held back.
+        out = self.inflate.decompress(self.rest, most)
+        moved = bool(out or self.rest)
+        self.data += out
         self.rest = self.inflate.unconsumed_tail
-        return True
+        return moved
 
     def upto(self, n: int) -> bytes:
         while len(self.data) < n and self._step(n - len(self.data)):
