@@ -279,7 +279,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = Tr
             for number, url, html, first in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if out is None:
                     names.append(f"{name}-{n:03d}.warc.gz" if compress else f"{name}-{n:03d}.warc")
-                    out, n = store.open_output_stream(f"{folder}/{names[-1]}"), n + 1
+                    out, n = store.open_output_stream(f"{folder}/{names[-1]}", compression=None), n + 1
                 payload = (html.as_py() or "").encode()
                 number, first = number.as_py(), first.as_py()
                 again = first is not None and number != first
