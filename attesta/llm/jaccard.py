@@ -32,7 +32,7 @@ from attesta.llm.shingles import mixed, shingle_sets
 #: Linked if 100 * |intersection| >= 80 * |union|.
 PERCENT = 80
 #: Frequent tokens passed to the workers at most (8 bytes each), and the sum of local counts that makes one.
-FREQUENT, FREQUENT_SUM = 1 << 20, 4
+FREQUENT, FREQUENT_SUM, COUNTED = 1 << 20, 4, 1 << 16
 #: Sets of a list whose pairs are counted one by one, and tokens of a set for each list in which a partner must be met.
 SHORT, PER_MEETING = 64, 30
 #: Tokens of a unit of work, about.
@@ -114,8 +114,16 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(values[i : i + (1 << 16)].view(np.int64)), pa.array(count[i : i + (1 << 16)])], names=["token", "n"])
 
     local = documents.select("text").mapInArrow(run, "token long, n long")
-    rows = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SUM).orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token")
-    return np.sort(np.asarray(rows.toArrow().column(0).to_numpy(), np.int64).view(np.uint64))
+    sums = staged(local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SUM), "frequent")
+    # The least sum from which on at most FREQUENT tokens remain, out of a bounded histogram.
+    found, least = 0, COUNTED + 1
+    for row in sorted(sums.groupBy(F.least("n", F.lit(COUNTED)).alias("n")).count().collect(), reverse=True):
+        found += row["count"]
+        if found > FREQUENT:
+            break
+        least = row["n"]
+    tokens = sums.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy()
+    return np.sort(np.asarray(tokens, np.int64).view(np.uint64))
 
 
 def candidate_edges(documents: DataFrame, frequent: np.ndarray) -> DataFrame:

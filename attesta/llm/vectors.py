@@ -31,8 +31,8 @@ def counts(rows: DataFrame) -> tuple[int, int]:
     return r["n"], r["q"]
 
 
-def queries(rows: DataFrame, n_queries: int, n_shards: int) -> DataFrame:
-    """The query rows, dealt into groups and sent to every shard: each (shard, grp) is one bounded task."""
+def queries(rows: DataFrame, n_queries: int, n_shards: int) -> tuple[DataFrame, int]:
+    """(the query rows, dealt into groups and sent to every shard, number of groups): each (shard, grp) is one bounded task."""
     groups = max(1, -(-n_queries // GROUP))
     return (
         rows.where(F.col("vec_id") % QUERY_EVERY == 0)
