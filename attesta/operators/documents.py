@@ -11,7 +11,6 @@ import gzip
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -239,11 +238,6 @@ def legal_form(text: Column) -> Column:
     return F.get(F.transform(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in LEGAL_FORMS]), lambda f: F.regexp_like(block, f["p"])), lambda f: f["n"]), 0)
 
 
-def links(page: Column, base: Column) -> Column:
-    """array<struct<url, text, in_footer>> of the links that are pages (``urls.resolved`` of each is taken outside lambdas)."""
-    return F.transform(page["links"], lambda link: F.struct(link["href"].alias("href"), link["text"].alias("text"), link["in_footer"].alias("in_footer")))
-
-
 # JSON-LD.
 
 
@@ -382,14 +376,3 @@ def robots_rules(body: pd.Series, agent: pd.Series, url: pd.Series) -> pd.DataFr
 def allowed(status: Column, body: Column, agent: Column, url: Column) -> Column:
     state = robots_state(status)
     return F.when(state == "deny", F.lit(False)).when(state == "unrestricted", F.lit(True)).otherwise(robots_rules(F.coalesce(body, F.lit("")), agent, url)["allowed"])
-
-
-def absolute(base: str, href: str) -> str | None:
-    """``urls.absolute`` for use within parsers."""
-    if not href.strip() or re.match(urls.NOT_PAGES, href):
-        return None
-    try:
-        url = urldefrag(urljoin(base, href.strip())).url
-        return url if urlsplit(url).scheme in ("http", "https") else None
-    except ValueError:
-        return None

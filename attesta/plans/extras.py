@@ -55,8 +55,8 @@ _CLAIM = "p as (select c_custkey as company_id, case when c_custkey % 3 = 0 then
 
 @query(
     "extraction_unpivot",
-    f"with {_CLAIM} select company_id, 'impressum.legal_name' as key, legal_name as value_text, case when contains(lower(page), lower(legal_name)) then 1.0 else 0.0 end as confidence from p where legal_name is not null"
-    " union all select company_id, 'impressum.city', city, case when contains(lower(page), lower(city)) then 1.0 else 0.0 end from p where city is not null",
+    f"with {_CLAIM} select company_id, 'impressum.legal_name' as key, legal_name as value_text, case when contains(lower(page), lower(legal_name)) then 1.0::double else 0.0::double end as confidence from p where legal_name is not null"
+    " union all select company_id, 'impressum.city', city, case when contains(lower(page), lower(city)) then 1.0::double else 0.0::double end from p where city is not null",
 )
 def extraction_unpivot(spark, d):
     from attesta.operators.batches import claims

@@ -17,7 +17,7 @@ def _log(spark, d):
 @query(
     "host_spacing",
     f"with {_LOG}, gaps as (select host, issued - lag(issued) over (partition by host order by issued) as gap from log)"
-    " select host, count(*)::bigint as requests, round(min(gap), 3) as min_gap, case when host % 3 = 0 then 60.0 else 1.0 end as owed,"
+    " select host, count(*)::bigint as requests, round(min(gap), 3) as min_gap, case when host % 3 = 0 then 60.0::double else 1.0::double end as owed,"
     " min(gap) is null or min(gap) >= case when host % 3 = 0 then 60.0 else 1.0 end - 0.02 as kept from gaps group by host",
 )
 def host_spacing(spark, d):
