@@ -36,7 +36,7 @@ FREQUENT, FREQUENT_SUM, COUNTED = 1 << 20, 4, 1 << 16
 #: Sets of a list whose pairs are counted one by one, and tokens of a set for each list in which a partner must be met.
 SHORT, PER_MEETING = 64, 30
 #: Tokens of a unit of work, about.
-UNIT_TOKENS = 2_000_000
+UNIT_TOKENS = 1_000_000
 #: Bits of the filter that tells the set pass which documents are in units.
 FILTER_BITS = 1 << 25
 
@@ -93,9 +93,13 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
         totals: tuple[np.ndarray, np.ndarray] = (once, np.zeros(0, np.int64))
 
         def merged():
-            values, at = np.unique(np.concatenate([totals[0], *parts]), return_inverse=True)
-            count = np.bincount(at.reshape(-1), np.concatenate([totals[1], np.ones(held, np.int64)])).astype(np.int64)
-            return values, count
+            """The counts so far with those of ``parts`` added."""
+            fresh, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (once, np.zeros(0, np.int64))
+            values = np.concatenate([totals[0], fresh])
+            order = np.argsort(values, kind="stable")
+            values, count = values[order], np.concatenate([totals[1], n])[order]
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+            return values[start], np.add.reduceat(count, start) if len(start) else count
 
         for _, sets in _texts(batches, 0):
             for s in sets:
@@ -103,9 +107,9 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
                     seen.add(name)
                     parts.append(s)
                     held += len(s)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 totals, parts, held = merged(), [], 0
-                if len(totals[0]) > 4_000_000:  # bounded: what has been met once only is let go
+                if len(totals[0]) > 3_000_000:  # bounded: what has been met once only is let go
                     more = totals[1] > 1
                     totals = totals[0][more], totals[1][more]
         values, count = merged()
