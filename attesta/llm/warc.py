@@ -1,6 +1,6 @@
 """WARC archives: a distributed writer, and a PySpark Python data source that reads them back.
 
-The reader plans partitions as byte ranges of whole files, pushes predicates on the record type and on
+The reader plans one partition a file (the writer bounds their size), pushes predicates on the record type and on
 named headers into the scan, parses the headers of a record first and seeks over payloads that no
 selected column or passed predicate needs. Records are gzip members of their own, with the skip length
 of the WARC standard's annex in the member's extra field, so that a payload is skipped without inflating it;
@@ -145,7 +145,7 @@ def page_id(identifier: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-class _Range(InputPartition):
+class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
@@ -191,9 +191,9 @@ class WarcReader(DataSourceReader):
         store, folder = filesystem(self.path)
         scheme = self.path.partition("://")[0] + "://" if "://" in self.path else ""
         found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
-        return [_Range(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))] or [_Range("")]
+        return [_File(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))] or [_File("")]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
         store, path = filesystem(partition.path)
