@@ -76,3 +76,13 @@ BROADCAST_ROWS = 400_000
 def sized(small: DataFrame, rows: int) -> DataFrame:
     """``small``, marked for broadcast if its counted ``rows`` of a few numbers each allow that."""
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+
+
+#: In a worker: what operators keep between tasks, as functions that let go of it.
+kept_by_worker: list = []
+
+
+def let_go() -> None:
+    """Free what other operators have kept in this worker; for tasks that need the memory themselves."""
+    for free in kept_by_worker:
+        free()

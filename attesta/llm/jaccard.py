@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import sized, staged, table
+from attesta.llm.common import let_go, sized, staged, table
 from attesta.llm.components import components
 from attesta.llm.shingles import mixed, shingle_sets
 
@@ -63,6 +63,7 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    let_go()
     with np.errstate(over="ignore"):
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
@@ -309,6 +310,7 @@ def links(documents: DataFrame, dealt: DataFrame, members: int) -> DataFrame:
     rows = sets.join(dealt, ["rep", "node"]).select("unit", "node", "tokens")
 
     def run(group):
+        let_go()
         names, at = np.unique(group.column("node").to_numpy(), return_index=True)
         tokens = group.column("tokens").take(pa.array(at)).to_pylist()
         with np.errstate(over="ignore"):

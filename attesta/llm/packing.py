@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import table
+from attesta.llm.common import kept_by_worker, table
 
 WINDOW = 2048
 END_OF_DOCUMENT = 1
@@ -77,6 +77,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+kept_by_worker.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
