@@ -3,8 +3,9 @@
 Base spans follow fixed formats per kind. High-recall generators propose further, overlapping spans
 (disguised mail addresses, loose numbers); format and context features of every candidate are binned
 to small integers. Boosted trees learn from candidates whose format settles the case (a valid base
-span against, say, a failed check digit), counted over the whole corpus; thresholds calibrated on the
-fold of held-out documents to ``PRECISION`` per kind decide which of the open candidates are added.
+span against, say, a failed check digit or 'at' in prose), counted over the whole corpus; thresholds
+calibrated on the fold of held-out documents to ``PRECISION`` per kind decide which of the open
+candidates are added. Of a kind without settled cases of both labels in that fold none is added.
 
 Two passes over the texts, no shuffle of rows: the first counts distinct feature rows (map-side
 partial sums, a few thousand rows at most), the second emits spans.
@@ -34,6 +35,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_EMAIL = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]?(?:@|\bat\b)[\])]?\x20?[A-Za-z0-9-]++(?:\x20?[\[(]?(?:\.|\bdot\b)[\])]?\x20?[A-Za-z0-9-]++)++"
 LOOSE_NUMBER = r"(?<![0-9A-Za-z])[0-9(](?:[\x20().,/-]{0,2}+[0-9]){7,}+(?![0-9A-Za-z])"
 
+#: Top-level labels: the general ones in wide use and those of countries.
+TOP_LABELS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi arpa io ai app dev shop online site xyz tech cloud blog email store eu asia cat jobs tel travel museum aero coop "
+    "ac ad ae af ag al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz "
+    "na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz "
+    "tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+
 MAIL_WORDS = r"(?i)(?:mail|contact|write)"
 PHONE_WORDS = r"(?i)(?:phone|tel|call|fax|mobile|dial)"
 CARD_WORDS = r"(?i)(?:card|visa|pay|credit)"
@@ -79,8 +90,22 @@ def open_spans(text: Column) -> Column:
     return F.concat(mails, named)
 
 
+def _top_label(match: Column) -> Column:
+    return F.regexp_extract(F.lower(match), r"([a-z0-9-]+)$", 1).isin(sorted(TOP_LABELS))
+
+
+def _marked(match: Column) -> Column:
+    """Whether a mail candidate bears two of the marks of an address that prose lacks: a known top-level
+    label; '@' or a bracketed 'at'; a dot spelled or bracketed, or beside such an at only dots without white space."""
+    sign = F.regexp_like(match, F.lit(r"(?i)@|[\[(]at[\])]"))
+    dots = F.regexp_like(match, F.lit(r"(?i)[\x20\[(]dot[\x20\])]|[\[(]\.[\])]")) | (sign & ~F.regexp_like(match, F.lit(r"\x20\.|\.\x20")))
+    return _top_label(match).cast("int") + sign.cast("int") + dots.cast("int") >= 2
+
+
 def features(text: Column, s: Column) -> list[Column]:
-    """Small integers: kind, digits, check digit, octets, separators, the characters around, context words."""
+    """Small integers: kind, marks of an address, digits, check digit, octets, separators, the characters around, context words.
+
+    Digits and separators don't count for mail: disguised addresses have as many as prose."""
     kind, match = s["kind"], s["match"]
     ahead = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
     left, right = F.substring(text, s["start"], F.least(s["start"], F.lit(1))), F.substring(text, s["end"] + 1, F.lit(1))
@@ -92,24 +117,25 @@ def features(text: Column, s: Column) -> list[Column]:
     word = F.when(kind == "email", MAIL_WORDS).when(kind == "ip", IP_WORDS).when(kind == "card", CARD_WORDS).otherwise(PHONE_WORDS)
     return [
         F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int"),
-        F.least(n, F.lit(20)).cast("int"),
+        F.when(kind != "email", 2).otherwise(_marked(match).cast("int")),
+        F.when(kind == "email", 0).otherwise(F.least(n, F.lit(20))).cast("int"),
         F.when(kind != "card", 2).when(luhn(_digits(match)), 1).otherwise(0),
         F.when(kind != "ip", 2).when(_octets(match), 1).otherwise(0),
-        F.least(F.length(F.regexp_replace(match, r"[A-Za-z0-9]", "")), F.lit(6)).cast("int"),
+        F.when(kind == "email", 0).otherwise(F.least(F.length(F.regexp_replace(match, r"[A-Za-z0-9]", "")), F.lit(6))).cast("int"),
         around(left),
         around(right),
         F.regexp_like(ahead, word).cast("int"),
     ]
 
 
-N_FEATURES = 8
+N_FEATURES = 9
 
 
 def _settled(s: Column) -> Column:
     """1 or 0 where the format settles the case, else null."""
     n = F.length(_digits(s["match"]))
     return (
-        F.when(s["kind"] == "email", F.when(F.regexp_like(s["match"], F.lit(f"^{EMAIL}$")), 1))
+        F.when(s["kind"] == "email", F.when(F.regexp_like(s["match"], F.lit(f"^{EMAIL}$")), 1).when(~_marked(s["match"]) & ~_top_label(s["match"]), 0))
         .when(s["kind"] == "ip", _octets(s["match"]).cast("int"))
         .when(s["kind"] == "card", F.when(n.between(16, 19), luhn(_digits(s["match"])).cast("int")).when(n > 19, 0))
         .otherwise(F.when(s["match"].startswith("+"), n.between(8, 15).cast("int")).when(s["match"].rlike(r"[,/]|^[0-9]+$"), 0))
@@ -143,8 +169,9 @@ def fit(documents: DataFrame) -> tuple[list, dict[str, float]]:
     trees = boosting.fit([r[1] for r in learn], [r[2] for r in learn], [r[3] for r in learn]) if learn else []
     limits = {}
     for k, kind in enumerate(KINDS, 1):
-        found = boosting.calibrated([(boosting.total(trees, x), y, w) for held, x, y, w in rows if held and x[0] == k], PRECISION) if trees else None
-        if found is not None:
+        scored = [(boosting.total(trees, x), y, w) for held, x, y, w in rows if held and x[0] == k]
+        found = boosting.calibrated(scored, PRECISION) if trees else None
+        if found is not None and any(y == 0 for _, y, _ in scored):
             limits[kind] = max(found, 0.0)
     return trees, limits
 

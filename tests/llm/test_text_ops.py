@@ -81,6 +81,26 @@ def test_redaction(docs):
     assert got[2]["text"] == "é😀 [EMAIL] [CARD], 4111-1111-1111-1112 [PHONE] +12" and got[2]["n_chars"] == len(got[2]["text"])
 
 
+PROSE = [f"the anecdote {i} goes on: they arrived at noon. Then {w} left" for i, w in enumerate("she he they nobody everyone".split() * 12)]
+MAILS = [f"{'mail' if i % 8 < 4 else 'for'} u{i}.x@h{i}.{t} now" for i, t in enumerate("com de org lan".split() * 15)]
+
+NUMBERS = [t for i in range(40) for t in (f"call +1 434 555 {1000 + i}", f"order {10000000 + i}")]
+
+
+def added(spark, texts, more):
+    """What is added in ``more``, fitted on both."""
+    df = spark.createDataFrame(list(enumerate([*texts, *more])), "doc_id long, text string")
+    found = pii.find(df).where(F.col("doc_id") >= len(texts)).orderBy("doc_id").collect()
+    return [[(s["kind"], s["match"]) for s in r["added"]] for r in found]
+
+
+def test_prose_is_no_mail(spark):
+    prose = ["anecdote: it ended at two. It", "anecdote: see more at example.com", "look at the dot product", "dot: dinner @ joes. Then"]
+    got = added(spark, PROSE + MAILS + NUMBERS, [*PROSE[:3], *prose, "joe at example dot com"])
+    assert got == [[]] * 7 + [[("email", "joe at example dot com")]]
+    assert added(spark, MAILS + NUMBERS, ["joe at example dot com", prose[1]]) == [[], []]  # no negatives to calibrate on
+
+
 def test_secrets_base(docs):
     found = secrets.scan(docs, F.col("source"), F.col("lang"))
     got = collections.Counter(r[0] for r in found.select(secrets.joined(F.col("base"))).collect())
