@@ -77,8 +77,9 @@ def base_spans(text: Column) -> list[Column]:
 
 def open_spans(text: Column) -> Column:
     """Candidates of the generators, whatever they turn out to be."""
-    disguised = F.contains(F.lower(text), F.lit("dot")) | F.contains(text, F.lit(" @ "))
-    mails = spans("email", text, LOOSE_EMAIL, disguised)
+    # What every match of the pattern holds.
+    signed = F.contains(text, F.lit("@")) | text.rlike(r"(?i)\bat\b")
+    mails = spans("email", text, LOOSE_EMAIL, signed)
     numbers = spans("number", text, LOOSE_NUMBER)
     named = F.transform(
         numbers,

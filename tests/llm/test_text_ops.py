@@ -101,6 +101,11 @@ def test_prose_is_no_mail(spark):
     assert added(spark, MAILS + NUMBERS, ["joe at example dot com", prose[1]]) == [[], []]  # no negatives to calibrate on
 
 
+def test_disguised_mail_needs_no_other_text(spark):
+    mails = ["jane (at) example.com", "jane [at] example.org", "jane@ example.com", "jane [@] example.com", "JANE (AT) EXAMPLE.COM"]
+    assert added(spark, PROSE + MAILS + NUMBERS, [*mails, "they arrived at noon. Then"]) == [[("email", m)] for m in mails] + [[]]
+
+
 def test_secrets_base(docs):
     found = secrets.scan(docs, F.col("source"), F.col("lang"))
     got = collections.Counter(r[0] for r in found.select(secrets.joined(F.col("base"))).collect())
