@@ -4,7 +4,8 @@ Base spans follow fixed formats; a generator adds other token-like strings. The
 candidate is hashed and the hashes are aggregated over the corpus by distinct repositories and owners
 (map-side distinct first, so that a value in a third of all rows costs a few rows a task). A value held
 by ``COPIED_OWNERS`` owners or more is a widely copied example; one held by a single owner is
-owner-specific. Owner-specific generated candidates are added to the base spans.
+owner-specific; values in between are shared. Generated candidates that are not widely copied are added
+to the base spans. Repositories are counted but do not decide.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def scan(documents: DataFrame, owner: Column, repository: Column, copied_owners:
 
     Needs doc_id and text and whatever ``owner`` and ``repository`` read; a repository belongs to one
     owner. ``n_live``: candidates whose value a single owner holds; ``n_copied``: those held by
-    ``copied_owners`` owners or more. Null text is empty; a null owner or repository is one of its
+    ``copied_owners`` owners or more; values shared by fewer are in neither. Null text is empty; a null owner or repository is one of its
     own; repeated rows count each by itself and once for ownership; an empty table gives an empty
     result. Texts are searched whole, offsets are code points.
     """
@@ -97,7 +98,7 @@ def scan(documents: DataFrame, owner: Column, repository: Column, copied_owners:
         .agg(
             F.count_if(F.col("owners") == 1).alias("n_live"),
             F.count_if(F.col("owners") >= copied_owners).alias("n_copied"),
-            F.collect_list(F.when((F.col("c.kind") == "owned") & (F.col("owners") == 1), F.col("c"))).alias("added"),
+            F.collect_list(F.when((F.col("c.kind") == "owned") & (F.col("owners") < copied_owners), F.col("c"))).alias("added"),
         )
     )
     return rows.join(verdicts, "row", "left").select(

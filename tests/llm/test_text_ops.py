@@ -120,6 +120,11 @@ def test_ownership(spark):
     assert got[0] == (0, 2, 0) and got[6] == (1, 1, 0) and got[9] == (1, 0, 1)
 
 
+def test_shared_secret_keeps_its_spans(spark):
+    df = spark.createDataFrame([(i, "key aB3dE5fG7hI9jK1lM3nO5p", f"o{i}", "r") for i in range(2)], "doc_id long, text string, o string, r string")
+    assert [(r["n_live"], r["n_copied"], len(r["added"])) for r in secrets.scan(df, F.col("o"), F.col("r")).collect()] == [(0, 0, 1)] * 2
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
