@@ -22,8 +22,8 @@ COPIED_OWNERS = 3
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-# Generator: long tokens that mix digits with both cases.
-LOOSE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_=-]{0,40}+[0-9])[A-Za-z0-9+/_=-]{20,}+"
+# Generator: long tokens; those that mix digits with both cases are kept. Dots part tokens.
+LOOSE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 VALUE_AT_LEAST = 8
 DISTINCT_AT_LEAST = 12
@@ -59,7 +59,7 @@ def base_spans(text: Column) -> Column:
 def open_spans(text: Column, base: Column) -> Column:
     """Generated candidates that touch no base span."""
     def varied(m: Column) -> Column:
-        return m.rlike("[a-z]") & m.rlike("[A-Z]") & (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT_AT_LEAST)
+        return m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]") & (F.size(F.array_distinct(F.split(m, ""))) >= DISTINCT_AT_LEAST)
 
     found = F.filter(spans("owned", text, LOOSE), lambda s: varied(s["match"]))
     return F.filter(_ranked(found, 3, lambda m: m), lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))

@@ -125,6 +125,14 @@ def test_shared_secret_keeps_its_spans(spark):
     assert [(r["n_live"], r["n_copied"], len(r["added"])) for r in secrets.scan(df, F.col("o"), F.col("r")).collect()] == [(0, 0, 1)] * 2
 
 
+def test_long_and_dotted_tokens(spark):
+    late, parts = "aBcDeFgHiJkLmNoPqRsTuVwXyZ" * 2 + "7", ["eyJhbGciOiJIUzI1NiIsInR5cCI6", "eyJzdWIiOiIxMjM0NTY3ODkwIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36"]
+    text = f"key {late} and {'.'.join(parts)}, no aBcDeFgHiJkLmNoPqRsTuVwXyZ"
+    df = spark.createDataFrame([(1, text, "o", "r")], "doc_id long, text string, o string, r string")
+    (row,) = secrets.scan(df, F.col("o"), F.col("r")).collect()
+    assert [text[s["start"] : s["end"]] for s in row["added"]] == [late, *parts]
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
