@@ -9,25 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _leaf(rows, grad, hess, l2: float) -> float:
-    return -sum(grad[i] for i in rows) / (sum(hess[i] for i in rows) + l2)
-
-
 def _grow(x, rows, grad, hess, depth: int, l2: float):
-    """A nested (feature, threshold, left, right), or a leaf value."""
-    def gain(part):
-        return sum(grad[i] for i in part) ** 2 / (sum(hess[i] for i in part) + l2)
-
-    best = (1e-9, None)
-    if depth:
-        for f in range(len(x[0])):
-            for t in sorted({x[i][f] for i in rows})[:-1]:
-                left, right = [i for i in rows if x[i][f] <= t], [i for i in rows if x[i][f] > t]
-                best = max(best, (gain(left) + gain(right) - gain(rows), (f, t, left, right)), key=lambda b: b[0])
-    if best[1] is None:
-        return _leaf(rows, grad, hess, l2)
-    f, t, left, right = best[1]
-    return f, t, _grow(x, left, grad, hess, depth - 1, l2), _grow(x, right, grad, hess, depth - 1, l2)
+    """A nested (feature, threshold, left, right), or a leaf value; splits are found on sums by feature value."""
+    g_all, h_all = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+    whole, best, split = g_all * g_all / (h_all + l2), 1e-9, None
+    for f in range(len(x[0])) if depth else ():
+        sums: dict[int, list[float]] = {}
+        for i in rows:
+            at = sums.setdefault(x[i][f], [0.0, 0.0])
+            at[0] += grad[i]
+            at[1] += hess[i]
+        g = h = 0.0
+        for t in sorted(sums)[:-1]:
+            g, h = g + sums[t][0], h + sums[t][1]
+            gain = g * g / (h + l2) + (g_all - g) ** 2 / (h_all - h + l2) - whole
+            if gain > best:
+                best, split = gain, (f, t)
+    if split is None:
+        return -g_all / (h_all + l2)
+    f, t = split
+    sides = [i for i in rows if x[i][f] <= t], [i for i in rows if x[i][f] > t]
+    return f, t, *(_grow(x, side, grad, hess, depth - 1, l2) for side in sides)
 
 
 def value(tree, x) -> float:
@@ -36,7 +38,7 @@ def value(tree, x) -> float:
     return tree
 
 
-def fit(x: list[tuple[int, ...]], y: list[int], weight: list[float], rounds: int = 12, depth: int = 3, rate: float = 0.4, l2: float = 1.0) -> list:
+def fit(x: list[tuple[int, ...]], y: list[int], weight: list[float], rounds: int = 30, depth: int = 4, rate: float = 0.3, l2: float = 1.0) -> list:
     """Trees whose summed value is the log-odds of label 1; newton steps on the logistic loss."""
     score, trees = [0.0] * len(x), []
     for _ in range(rounds if len(set(y)) == 2 else 0):

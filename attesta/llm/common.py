@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -25,9 +27,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests) an own one is set."""
+    """The cluster's shared folder. Where none is configured an own one is set, but only if driver and executors are
+    one process (tests): elsewhere the executors would not see it, and the operator refuses to run."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -64,11 +69,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the Arrow batches that pass between the JVM and Python workers; a single longer text passes alone.
+BATCH_ROWS, BATCH_BYTES = 2048, "4m"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to pass small Arrow batches, so that a worker holds few texts at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once for use inside ``body``; lambdas would evaluate it anew for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of narrow keys up to which a table may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -83,6 +107,13 @@ kept_by_worker: list = []
 
 
 def let_go() -> None:
-    """Free what other operators have kept in this worker; for tasks that need the memory themselves."""
+    """Free what other operators have kept in this worker and give the memory back; for tasks that need it themselves."""
     for free in kept_by_worker:
         free()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -2,10 +2,10 @@
 
 Base spans follow fixed formats; a generator adds other token-like strings. The value of every
 candidate is hashed and the hashes are aggregated over the corpus by distinct repositories and owners
-(map-side distinct first, so that a value in a third of all rows costs a few rows a task). A value held
-by ``COPIED_OWNERS`` owners or more is a widely copied example; one held by a single owner is
-owner-specific; values in between are shared. Generated candidates that are not widely copied are added
-to the base spans. Repositories are counted but do not decide.
+(map-side distinct first, so that a value in a third of all rows costs a few rows a task). A value is a
+widely copied example if ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories hold it; a
+value of one owner in fewer repositories is owner-specific and looks live; values in between are shared.
+Generated candidates that are not widely copied are added to the base spans.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import let, staged, table
+from attesta.llm.common import let, sized, staged, table
 from attesta.llm.spans import joined, of_kind, sha256, spans
 
 KINDS = ("assign", "access", "hex", "owned")
 COPIED_OWNERS = 3
+#: Repositories, whoever owns them: an example pasted into so many is one, even if one owner holds them all.
+COPIED_REPOSITORIES = 4
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -65,21 +67,22 @@ def open_spans(text: Column, base: Column) -> Column:
     return F.filter(_ranked(found, 3, lambda m: m), lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
 
 
-def scan(documents: DataFrame, owner: Column, repository: Column, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan(documents: DataFrame, owner: Column, repository: Column, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """Return doc_id, ``base`` and ``added`` (arrays of start, rank, end, kind, hash), n_live, n_copied for every row.
 
-    Needs doc_id and text and whatever ``owner`` and ``repository`` read; a repository belongs to one
-    owner. ``n_live``: candidates whose value a single owner holds; ``n_copied``: those held by
-    ``copied_owners`` owners or more; values shared by fewer are in neither. Null text is empty; a null owner or repository is one of its
-    own; repeated rows count each by itself and once for ownership; an empty table gives an empty
-    result. Texts are searched whole, offsets are code points.
+    Needs doc_id and text and whatever ``owner`` and ``repository`` read; a repository is known by its
+    owner and its name together. ``n_copied``: candidates whose value ``copied_owners`` owners or
+    ``copied_repositories`` repositories hold; ``n_live``: those of a single owner in fewer; values
+    shared by fewer owners are in neither. Null text is empty; a null owner or repository is one of its
+    own, other than the empty string; repeated rows count each by itself and once for ownership; an empty
+    table gives an empty result. Texts are searched whole, offsets are code points.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), open_spans(t, b).alias("open"))))
     rows = staged(
-        documents.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"), found.alias("f")
-        ).select("row", "doc_id", "owner", "repository", "f.base", "f.open"),
+        documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", owner.alias("owner"), repository.alias("repository"), found.alias("f")).select(
+            "row", "doc_id", "owner", "repository", "f.base", "f.open"
+        ),
         "secrets",
     )
     each = rows.where(F.size("base") + F.size("open") > 0).select("row", "owner", "repository", F.explode(F.concat("base", "open")).alias("c"))
@@ -91,14 +94,17 @@ def scan(documents: DataFrame, owner: Column, repository: Column, copied_owners:
         .groupBy("hash")
         .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    # Most values have one holder, which needs no row here; what is left joins without a shuffle if it is small.
+    verdict = staged(known.select("hash", F.when(copied, "copied").when(F.col("owners") > 1, "shared").alias("verdict")).where("verdict is not null"), "verdicts")
     verdicts = (
         each.select("row", "c", F.col("c.hash").alias("hash"))
-        .join(known, "hash")
+        .join(sized(verdict, verdict.count()), "hash", "left")
         .groupBy("row")
         .agg(
-            F.count_if(F.col("owners") == 1).alias("n_live"),
-            F.count_if(F.col("owners") >= copied_owners).alias("n_copied"),
-            F.collect_list(F.when((F.col("c.kind") == "owned") & (F.col("owners") < copied_owners), F.col("c"))).alias("added"),
+            F.count_if(F.col("verdict").isNull()).alias("n_live"),
+            F.count_if(F.col("verdict") == "copied").alias("n_copied"),
+            F.collect_list(F.when((F.col("c.kind") == "owned") & F.coalesce(F.col("verdict") != "copied", F.lit(True)), F.col("c"))).alias("added"),
         )
     )
     return rows.join(verdicts, "row", "left").select(
