@@ -22,7 +22,7 @@ def usable(embeddings: DataFrame, nonzero: bool = False) -> DataFrame:
 
 
 def sharded(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-count // SHARD)))).cast("int"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(max(1, -(-count // SHARD)))).cast("int"))
 
 
 def counts(rows: DataFrame) -> tuple[int, int]:
@@ -42,8 +42,7 @@ def queries(rows: DataFrame, n_queries: int, n_shards: int) -> tuple[DataFrame,
 
 
 def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors as float64) in id order; of rows with one id the first in vector order stays.
-    Shorter vectors are filled with zeros."""
+    """(ids, vectors as float64) in order of id, then vector; repeated ids all stay. Shorter vectors are filled with zeros."""
     ids = table.column("vec_id").to_numpy()
     lists = table.column("embedding").combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -53,10 +52,7 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(ids), width))
     out[np.arange(width) < lengths[:, None]] = values
     order = np.lexsort((*out.T[::-1], ids))
-    ids, out = ids[order], out[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = ids[1:] != ids[:-1]
-    return ids[first], out[first]
+    return ids[order], out[order]
 
 
 def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +60,7 @@ def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """The best ``TOP`` of each query over all shards, ties to the smaller vec_id."""
+def ranked(found: DataFrame, k: int = TOP) -> DataFrame:
+    """The best ``k`` of each query over all shards, ties to the smaller vec_id."""
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -25,11 +25,13 @@ def embeddings(spark):
     return spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, score double").repartition(3), x
 
 
-def brute_top(ids, scores, k=20):
+def brute_top(x, k=20):
+    """Rows of ``x``, of which that of id 20 stands there twice: every row is a candidate of the queries of other ids."""
+    rows = [*range(len(x)), 20]
     out = {}
-    for q, row in scores.items():
-        order = sorted((i for i in ids if i != q), key=lambda i: (-row[i], i))[:k]
-        out[q] = [(i, row[i]) for i in order]
+    for q in dict.fromkeys(i for i in rows if i % 20 == 0):
+        found = [(i, x[q] @ x[i]) for asked in rows if asked == q for i in rows if i != q]
+        out[q] = sorted(found, key=lambda f: (-f[1], f[0]))[:k]
     return out
 
 
@@ -38,7 +40,7 @@ def test_exact(embeddings, monkeypatch, shard):
     monkeypatch.setattr(vectors, "SHARD", shard)
     df, x = embeddings
     w = np.floor(64 * x.astype(float)).astype(int)
-    want = brute_top(range(700), {q: w[q] @ w.T for q in range(0, 700, 20)})
+    want = brute_top(w)
     got = {}
     for r in sorted(topk.top(df).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -59,20 +61,55 @@ def test_graph_recall(embeddings, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 400)
     df, x = embeddings
     y = x.astype(float)
-    want = brute_top(range(700), {q: y[q] @ y.T for q in range(0, 700, 20)})
+    want = brute_top(y)
     got = {}
-    for r in graph.nearest(df).collect():
-        got.setdefault(r["query_id"], {})[r["vec_id"]] = (r["rank"], r["score"])
-    hits = sum(len(set(got[q]) & {i for i, _ in rows}) for q, rows in want.items())
-    assert hits / (20 * len(want)) >= 0.95
+    for r in sorted(graph.nearest(df).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in rows}) / len({i for i, _ in rows}) for q, rows in want.items())
+    assert hits / len(want) >= 0.95
     for q, rows in got.items():
-        assert sorted(r for r, _ in rows.values()) == list(range(1, 21)) and q not in rows
-        assert all(s == pytest.approx(float(y[q] @ y[i]), abs=1e-12) for i, (_, s) in rows.items())
-    same = [i for i, _ in sorted(got[100].items(), key=lambda kv: kv[1][0])]
-    assert same == list(range(101, 121))  # ties to the smaller ids
+        assert [r for r, _, _ in rows] == list(range(1, 21)) and q not in {i for _, i, _ in rows}
+        assert all(s == pytest.approx(float(y[q] @ y[i]), abs=1e-12) for _, i, s in rows)
+    assert [i for _, i, _ in got[100]] == list(range(101, 121))  # ties to the smaller ids
+    assert [i for _, i, _ in got[20]] == [i for i, _ in want[20]]  # rows that repeat a query's id are one query
     assert graph.nearest(df.limit(0)).count() == 0
 
 
+def test_graph_takes_no_zero_vectors(spark):
+    df = spark.createDataFrame([(0, [0.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [0.5, 0.5]), (5, []), *[(20, [1.0, 0.0])] * 30, *[(6, [1.0, 0.0])] * 25, (7, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in graph.nearest(df).collect())
+    assert [r[0] for r in got] == [20] * 20 and {r[2:] for r in got} == {(6, 1.0)}
+
+
+def test_blocks_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 8 * topk.BLOCK)
+    n, r = 32 * topk.BLOCK, np.random.default_rng(3)
+    near = 0.02 * r.normal(size=(n, 8))
+    near[np.arange(n), np.arange(n) // (4 * topk.BLOCK)] += 1  # ids that are close hold alike vectors
+    alike = [(i, [float(v) for v in near[i]]) for i in range(n)]
+    mixed = [(i, [float(v) for v in row]) for i, row in enumerate(r.normal(size=(n, 64)))]
+    for rows, most, least in ((alike, 0.5, 0.0), (mixed, 1.0, 0.99)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        share = topk.pruning(df).agg((F.sum("scored") / F.sum("blocks")).alias("s")).first()["s"]
+        assert least <= share <= most
+        w = np.floor(64 * np.array([v for _, v in rows]))
+        got = {}
+        for x in topk.top(df).collect():
+            got.setdefault(x["query_id"], {})[x["rank"]] = (x["vec_id"], x["score"])
+        for q in range(0, n, 100):
+            scores = w[q] @ w.T
+            assert [got[q][i] for i in range(1, 21)] == sorted(((i, s) for i, s in enumerate(scores) if i != q), key=lambda p: (-p[1], p[0]))[:20]
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(9)
+    docs, asked = np.floor(64 * r.normal(size=(300, 8))), np.floor(64 * r.normal(size=(40, 8)))
+    starts = np.arange(0, 300, 32)
+    bound = topk.bounds(docs, starts, asked)
+    for b, s in enumerate(starts):
+        assert (bound[:, b] >= (asked @ docs[s : s + 32].T).max(axis=1)).all()
+
+
 @pytest.mark.parametrize("kind", ["skip length", "plain", "foreign gzip"])
 def test_warc_round_trip(spark, tmp_path, kind):
     import gzip
