@@ -12,10 +12,10 @@ No shuffle: each input partition is packed by itself, so a retried task repeats
 
 from __future__ import annotations
 
+import json
+import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,57 +23,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import kept_by_worker, table
+from attesta.llm.common import kept_by_worker, lean, table, trim
 
 WINDOW = 2048
 END_OF_DOCUMENT = 1
 VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct chunks whose ids a worker remembers (about 220 bytes each); beyond it starts over.
-CACHE = 1_000_000
-#: Documents encoded together.
+#: Texts encoded together.
 TOGETHER = 256
-#: A space that no visible character follows, or that begins the text.
-_ODD_SPACE = re.compile(r"^ | (?=\s|$)")
+#: The pre-token pattern that the byte-level step of a tokenizer file stands for (a fixed value).
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space so long that the quick encoder's pattern would exhaust its stack.
+_LONG_SPACE = re.compile(r"\s{20000}")
+
+
+def byte_names() -> dict[str, int]:
+    """Character -> byte of byte-level vocabularies: visible Latin-1 characters are themselves, the others follow from U+0100 on."""
+    visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def quick_encoder(spec: dict):
+    """A merge-rank encoder with the ids of the tokenizer file ``spec``, or None where that file asks for more.
+
+    It gives the same ids where the model is plain byte-level pair merging: no normaliser, the standard
+    pre-tokens, and merges whose results are numbered in the order of the merges.
+    """
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    )
+    if not plain:
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    vocabulary, names = model["vocab"], byte_names()
+    merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(ranks) != 256 + len(merged):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """``tokenizers`` ids of whole texts as little-endian uint32 bytes.
+    """``tokenizers`` ids of whole texts as little-endian uint32 arrays.
 
-    A space before a visible character always begins a pre-token, so a text is the concatenation of its
-    chunks cut there, and equal chunks have equal ids. Texts with other white space around a space
-    (or spaces only) are encoded in one piece.
+    Texts go through ``quick_encoder``; those that hold an added token's string or an immense run of
+    white space, and all of a file that the quick encoder does not cover, go through ``tokenizers``
+    itself. Nothing that grows with the texts is kept.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        out = [array("I", e.ids) for e in found]
-        if sys.byteorder == "big":
-            for ids in out:
-                ids.byteswap()
-        return [ids.tobytes() for ids in out]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Of each text; the chunks that are new among all of them are encoded in one call."""
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        chunks = [None if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        known = self.known
-        fresh = {c for part in chunks if part for c in part[1:] if c not in known}
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = {c for part in chunks if part for c in part[1:]}
-        if fresh:
-            fresh = list(fresh)
-            known.update(zip(fresh, self._encode([" " + c for c in fresh]), strict=True))
-        first = iter(self._encode([t if part is None else part[0] for t, part in zip(texts, chunks, strict=True)]))
-        look = known.__getitem__
-        return [next(first) if part is None else b"".join([next(first), *map(look, part[1:])]) for part in chunks]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.path, self.added = path, [t["content"] for t in spec.get("added_tokens", ())]
+        self.quick, self.whole = quick_encoder(spec), None
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, text: str) -> bool:
+        return self.quick is not None and not any(a in text for a in self.added) and (len(text) < 20_000 or not _LONG_SPACE.search(text))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self._plain(t) for t in texts]
+        others = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [np.array(self.quick.encode_ordinary(t), "<u4") if p else next(others) for t, p in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -81,11 +106,8 @@ kept_by_worker.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process; its cache serves all tasks."""
+    """One per worker process."""
     if path not in _encoders:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
@@ -183,19 +205,20 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
 
         encode = encoder(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
-        end = np.asarray([END_OF_DOCUMENT], "<u4").tobytes()
+        end = np.asarray([END_OF_DOCUMENT], "<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                ids = encode([t or "" for t in part.column(1).to_pylist()])
-                for doc, data in zip(part.column(0).to_pylist(), ids, strict=True):
-                    packer.add(doc, np.frombuffer(data + end, "<u4"))
+                found = encode([t or "" for t in part.column(1).to_pylist()])
+                for doc, ids in zip(part.column(0).to_pylist(), found, strict=True):
+                    packer.add(doc, np.concatenate([ids, end]))
                 if len(packer.rows) >= 20_000:
                     yield packer.take(schema)
         packer.close()
         yield packer.take(schema)
+        trim()
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
+    return lean(documents).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)
 
 
 def tokenizer_path() -> str:
