@@ -27,6 +27,10 @@ ALPHA = 1.2
 BATCH = 512
 ENTRIES = 8
 EXPAND = 4
+#: Single precision is off by less than this on vectors of norm 1 at most.
+ROUNDING = 1e-4
+#: Points pruned together; bounds the table of their candidates' distances.
+PRUNED = 512
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -37,8 +41,8 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return (np.column_stack([x, np.sqrt(np.maximum(most - norms, 0))]) / np.sqrt(most or 1)).astype(np.float32)
 
 
-def beam_search(points, graph, entries, asked, beam: int) -> np.ndarray:
-    """Node numbers (queries, beam) by descending inner product with ``asked``, -1 where fewer were met."""
+def beam_search(points, graph, entries, asked, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node numbers, their inner products with ``asked``), both (queries, beam), the largest first; -1 where fewer were met."""
     n_queries = len(asked)
     nodes = np.full((n_queries, beam), -1, np.int32)
     value = np.full((n_queries, beam), -np.inf, np.float32)
@@ -67,19 +71,25 @@ def beam_search(points, graph, entries, asked, beam: int) -> np.ndarray:
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         near[seen[rows[:, None], near]] = -1
         seen[rows[:, None], near] = True
-        close = np.einsum("qrd,qd->qr", points[near], asked[rows])
-        close[near < 0] = -np.inf
+        close = np.full(near.shape, -np.inf, np.float32)
+        r, c = np.nonzero(near >= 0)
+        close[r, c] = np.einsum("ed,ed->e", points[near[r, c]], asked[rows[r]])
         both = np.concatenate([value[rows], close], axis=1)
         pick = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
         pick = np.take_along_axis(pick, np.argsort(-np.take_along_axis(both, pick, 1), axis=1, kind="stable"), 1)
         value[rows] = np.take_along_axis(both, pick, 1)
         nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], near], axis=1), pick, 1)
         done[rows] = np.take_along_axis(np.concatenate([done[rows], near < 0], axis=1), pick, 1)
-    return nodes
+    return nodes, value
 
 
 def robust_prune(points, of, candidates, degree: int) -> np.ndarray:
     """For each point ``of`` its kept neighbours (rows, degree) out of ``candidates`` (-1: none)."""
+    parts = range(0, len(of), PRUNED)
+    return np.concatenate([_pruned(points, of[i : i + PRUNED], candidates[i : i + PRUNED], degree) for i in parts])
+
+
+def _pruned(points, of, candidates, degree: int) -> np.ndarray:
     own = points[of]
     # Norms are equal: the squared distance is twice (norm - inner product).
     far = 2 * (1 - np.einsum("qrd,qd->qr", points[candidates], own))
@@ -87,6 +97,7 @@ def robust_prune(points, of, candidates, degree: int) -> np.ndarray:
     order = np.argsort(far, axis=1, kind="stable")
     candidates, far = np.take_along_axis(candidates, order, 1), np.take_along_axis(far, order, 1)
     vecs = points[candidates]
+    apart = 2 * (1 - vecs @ vecs.transpose(0, 2, 1))
     kept = np.full((len(own), degree), -1, np.int32)
     rows = np.arange(len(own))
     for i in range(degree):
@@ -95,8 +106,7 @@ def robust_prune(points, of, candidates, degree: int) -> np.ndarray:
         if not alive.any():
             break
         kept[alive, i] = candidates[rows, first][alive]
-        between = 2 * (1 - np.einsum("qrd,qd->qr", vecs, vecs[rows, first]))
-        far[ALPHA * between <= far] = np.inf
+        far[ALPHA * apart[rows, first] <= far] = np.inf
         far[rows, first] = np.inf
     return kept
 
@@ -115,7 +125,7 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while at < n:
         batch = order[at : at + min(BATCH, at)]
         at += len(batch)
-        found = beam_search(points, graph, entries, points[batch], BUILD_BEAM)
+        found, _ = beam_search(points, graph, entries, points[batch], BUILD_BEAM)
         graph[batch] = robust_prune(points, batch, found, DEGREE)
         _reverse(points, graph, batch)
     return graph, entries
@@ -177,13 +187,18 @@ def search(row: dict, query_ids: np.ndarray, asked: np.ndarray, k: int, beam: in
     points = lifted(x)
     wanted = asked / np.maximum(np.abs(asked).max(axis=1, initial=0), 1e-300)[:, None]
     wanted = np.column_stack([wanted / np.maximum(np.sqrt((wanted * wanted).sum(axis=1)), 1e-300)[:, None], np.zeros(len(asked))]).astype(np.float32)
-    found = np.concatenate([beam_search(points, graph, entries, wanted[i : i + BATCH], beam) for i in range(0, len(wanted), BATCH)])
-    q, c = np.nonzero(found >= 0)
+    met = [beam_search(points, graph, entries, wanted[i : i + BATCH], beam) for i in range(0, len(wanted), BATCH)]
+    found, value = (np.concatenate(m) for m in zip(*met, strict=True))
+    # Only what could be among the k best once scored exactly; the query itself may be among the first k + 1.
+    q, c = np.nonzero((found >= 0) & (value >= value[:, [min(k, beam - 1)]] - ROUNDING))
     at = found[q, c]
     score = products(x[at], asked[q])
-    # Nodes of several ids give their smallest k + 1, enough for the best k without the query's own.
-    by_node = np.argsort(node, kind="stable")
-    starts, sizes = np.searchsorted(node[by_node], np.arange(len(x))), np.minimum(np.bincount(node, minlength=len(x)), k + 1)
+    # Of a node's rows the k first of each id count, and of those the first 2 k: enough for the best k without the query's own.
+    by_node = np.lexsort((ids, node))
+    key = np.stack([node[by_node], ids[by_node]])
+    run = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    by_node = by_node[np.arange(len(ids)) - np.repeat(run, np.diff(np.append(run, len(ids)))) < k]
+    starts, sizes = np.searchsorted(node[by_node], np.arange(len(x))), np.minimum(np.bincount(node[by_node], minlength=len(x)), 2 * k)
     times = sizes[at]
     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     q, score, vec = np.repeat(q, times), np.repeat(score, times), ids[by_node[np.repeat(starts[at], times) + nth]]
@@ -200,8 +215,9 @@ def nearest(embeddings: DataFrame, k: int = vectors.TOP, beam: int = BEAM) -> Da
     """Return query_id, rank, vec_id, score: the ``k`` nearest found of each query row by inner product.
 
     Needs vec_id and embedding. Rows with a null id, a null, zero or empty vector or a null or non-finite
-    component take no part; of repeated ids one row counts; shorter vectors count as filled with
-    zeros; ties go to the smaller vec_id. Shards no larger than the beam are searched whole. With no
+    component take no part. A row is no candidate for a query of its own id; other rows that repeat an id
+    are candidates each, and query rows that repeat one are one query, which gets the best of their answers.
+    Shorter vectors count as filled with zeros; ties go to the smaller vec_id. Shards no larger than the beam are searched whole. With no
     queries or a single row the result is empty. Other columns are ignored.
     """
     rows = vectors.usable(embeddings, nonzero=True)
@@ -220,7 +236,7 @@ def nearest(embeddings: DataFrame, k: int = vectors.TOP, beam: int = BEAM) -> Da
         return pa.Table.from_arrays([pa.array(query_ids[at]), pa.array(found), pa.array(score)], schema=schema)
 
     pairs = made.groupBy("shard", "grp").cogroup(asked.groupBy("shard", "grp")).applyInArrow(run, "query_id long, vec_id long, score double")
-    return vectors.ranked(pairs)
+    return vectors.ranked(pairs, k)
 
 
 def op4_neighbours(spark, sf_dir: str) -> DataFrame:
