@@ -1,11 +1,16 @@
 """Quality by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are rows whose label is 1; all other training rows are unlabelled web text, whatever
-they are. With the class prior ``pi`` estimated from the labels, a small network minimises
-``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``: the risk of calling unlabelled text negative, less what
-the positives hidden in it contribute, is not let below zero (where it is, the step goes the other way,
-as in Kiryo et al. 2017). Features are shape statistics of the whole text. Training reads a bounded
-sample of rows (``SAMPLE`` positives and as many unlabelled); scoring reads every text.
+they are: labels of 0 are never read. The class prior is estimated from the two samples alone (Garg et
+al. 2021): a plain classifier of positives against unlabelled rows orders a held back half of both, and
+the prior is the least ratio of unlabelled to positive rows above a score, sampling error allowed for.
+A small network then minimises ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``: the risk of calling
+unlabelled text negative, less what the positives hidden in it contribute, is not let below zero (where
+it is, the step goes the other way, as in Kiryo et al. 2017).
+
+Features are shape statistics of the whole text and the shares of its hashed words and word pairs.
+Training reads a bounded sample of rows (``SAMPLE`` positives and as many unlabelled); scoring reads
+every text.
 """
 
 from __future__ import annotations
@@ -17,26 +22,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import BinaryType
 
-from attesta.llm.common import held_out, table
+from attesta.llm.common import held_out, lean, table
+from attesta.llm.shingles import pair_hashes, word_hashes
 
 #: Positives, and unlabelled rows, that training reads at most.
 SAMPLE = 4096
 HIDDEN, STEPS, BATCH, RATE = 16, 600, 512, 0.01
+#: Buckets of hashed words, and as many of word pairs; by how much less than a shape statistic each of them counts.
+BUCKETS, DAMPING = 64, 3.0
 DEFAULT_PRIOR = 0.5
 THRESHOLD = 0.3
 #: Bytes of a text compressed at a time.
 PIECE = 1 << 16
 
 
+def features(text: str) -> np.ndarray:
+    """Shape statistics of a whole text, then the square roots of the shares of its words and word pairs by bucket; zeros for a text without words."""
+    out = np.zeros(N_FEATURES)
+    out[:N_SHAPE] = shape(text)
+    words = word_hashes(text)
+    for at, hashes in ((N_SHAPE, words), (N_SHAPE + BUCKETS, pair_hashes(words))):
+        if len(hashes):
+            out[at : at + BUCKETS] = np.sqrt(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) / len(hashes))
+    return out
 
-def features(text: str) -> list[float]:
-    """Shape statistics of a whole text; zeros for an empty one."""
+
+def shape(text: str) -> list[float]:
     words = text.split()
     n, chars = len(words), len(text)
     if not n:
-        return [0.0] * N_FEATURES
+        return [0.0] * N_SHAPE
     lines = [line for line in text.split("\n") if line.strip()]
     data = text.encode("utf-8", "surrogatepass")
     packed = sum(len(zlib.compress(data[i : i + PIECE], 1)) for i in range(0, len(data), PIECE))
@@ -71,7 +88,8 @@ def features(text: str) -> list[float]:
     ]
 
 
-N_FEATURES = 20
+N_SHAPE = 20
+N_FEATURES = N_SHAPE + 2 * BUCKETS
 
 
 class Scorer:
@@ -79,8 +97,8 @@ class Scorer:
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 5):
         r = np.random.default_rng(seed)
-        self.mean, self.scale = mean, scale
-        self.p = {"w": r.normal(0, 0.5 / np.sqrt(N_FEATURES), (N_FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": r.normal(0, 0.3, HIDDEN), "c": np.zeros(1)}
+        self.mean, self.scale = mean, np.where(np.arange(len(mean)) < N_SHAPE, scale, DAMPING * scale)
+        self.p = {"w": r.normal(0, 0.5 / np.sqrt(len(mean)), (len(mean), HIDDEN)), "b": np.zeros(HIDDEN), "v": r.normal(0, 0.3, HIDDEN), "c": np.zeros(1)}
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ self.p["w"] + self.p["b"])
@@ -102,8 +120,24 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5) -> Scorer | None:
-    """Minimise the non-negative PU risk with the logistic loss; None without positives or unlabelled rows."""
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(non-negative PU risk of the logits with the logistic loss, slopes of the step by logit of positives and unlabelled)."""
+    called, hidden = _softplus(zu).mean(), prior * _softplus(zp).mean()
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    value = prior * _softplus(-zp).mean() + max(0.0, called - hidden)
+    # d/dz softplus(-z) = sigmoid(z) - 1, d/dz softplus(z) = sigmoid(z)
+    if called >= hidden:
+        return value, prior * (sp - 1) / len(zp) - prior * sp / len(zp), su / len(zu)
+    return value, prior * sp / len(zp), -su / len(zu)
+
+
+def against(zp: np.ndarray, zu: np.ndarray, _prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Like ``risk``, but of telling positives from unlabelled rows."""
+    return (_softplus(-zp).mean() + _softplus(zu).mean()) / 2, -1 / (1 + np.exp(zp)) / (2 * len(zp)), 1 / (1 + np.exp(-zu)) / (2 * len(zu))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5, loss=risk) -> Scorer | None:
+    """Minimise ``loss``; None without positives or unlabelled rows."""
     if not len(positive) or not len(unlabelled):
         return None
     every = np.concatenate([positive, unlabelled])
@@ -113,15 +147,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, STEPS + 1):
         p, u = positive[r.integers(len(positive), size=BATCH)], unlabelled[r.integers(len(unlabelled), size=BATCH)]
-        zp, zu = net.logits(p), net.logits(u)
-        negative = _softplus(zu).mean() - prior * _softplus(zp).mean()
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        # d/dz softplus(-z) = sigmoid(z) - 1, d/dz softplus(z) = sigmoid(z)
-        if negative >= 0:
-            gp, gu = prior * (sp - 1) - prior * sp, su
-        else:
-            gp, gu = prior * sp, -su
-        a, b = net.gradient(p, gp / BATCH), net.gradient(u, gu / BATCH)
+        _, gp, gu = loss(net.logits(p), net.logits(u), prior)
+        a, b = net.gradient(p, gp), net.gradient(u, gu)
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k in net.p:
             grad = a[k] + b[k] + 1e-4 * net.p[k]
@@ -131,16 +158,30 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return net
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> float:
+    """Share of positives among the unlabelled rows by their shape statistics, between 0.05 and 0.95; ``DEFAULT_PRIOR`` of fewer than four rows of either."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return DEFAULT_PRIOR
+    positive, unlabelled = positive[:, :N_SHAPE], unlabelled[:, :N_SHAPE]
+    net = train(positive[::2], unlabelled[::2], DEFAULT_PRIOR, seed, against)
+    p, u = np.sort(net.logits(positive[1::2])), np.sort(net.logits(unlabelled[1::2]))
+    at = np.unique(p)  # scores from which on rows count
+    q_p, q_u = (1 - np.searchsorted(z, at) / len(z) for z in (p, u))
+    error = np.sqrt(np.log(40) / 2 / len(u)) + np.sqrt(np.log(40) / 2 / len(p))
+    best = int(np.argmin((q_u + 1.01 * error) / q_p))
+    return float(np.clip(q_u[best] / q_p[best], 0.05, 0.95))
+
+
 def _described(rows: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` and ``features`` of each row's ``text``."""
-    schema = rows.select(*names).schema.add("features", ArrayType(DoubleType()))
+    """``names`` and ``features`` (doubles as bytes) of each row's ``text``."""
+    schema = rows.select(*names).schema.add("features", BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [features(t or "") for t in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(values, pa.list_(pa.float64()))], names=[*names, "features"])
+            values = [features(t or "").astype("<f8").tobytes() for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(values, pa.binary())], names=[*names, "features"])
 
-    return rows.select(*names, "text").mapInArrow(run, schema)
+    return lean(rows).select(*names, "text").mapInArrow(run, schema)
 
 
 def _least_hashes(rows: DataFrame, n: int) -> list[int]:
@@ -152,22 +193,20 @@ def _least_hashes(rows: DataFrame, n: int) -> list[int]:
 def fit(documents: DataFrame, labels: DataFrame) -> Scorer | None:
     """Train on rows that are not held out: labelled 1 as positives, all others (labels unseen) as unlabelled.
 
-    Needs doc_id, text of ``documents`` and doc_id, quality of ``labels``. The prior is the share of 1
-    among the training labels. None if there is no positive or no unlabelled row.
+    Needs doc_id, text of ``documents`` and doc_id, quality of ``labels``. None if there is no positive
+    or no unlabelled row.
     """
-    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
-    ones, n = known.agg(F.sum("quality"), F.count("*")).first()
-    prior = min(0.95, max(0.05, ones / n)) if n else DEFAULT_PRIOR
-    positive = set(_least_hashes(known.where("quality = 1"), SAMPLE))
+    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality = 1").where(~held_out(F.col("doc_id")))
+    positive = set(_least_hashes(known, SAMPLE))
     rows = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unlabelled = set(_least_hashes(rows, SAMPLE)) if positive else set()
     if not positive:
         return None
     digest = F.xxhash64("doc_id")
     chosen = rows.withColumn("h", digest).where(F.col("h").isin(list(positive | unlabelled)))
-    found = sorted((r["h"], tuple(r["features"])) for r in _described(chosen, ["h"]).collect())
-    x = {kind: np.array([f for h, f in found if h in hashes]) for kind, hashes in (("p", positive), ("u", unlabelled))}
-    return train(x["p"], x["u"], prior)
+    found = sorted((r["h"], bytes(r["features"])) for r in _described(chosen, ["h"]).collect())
+    x = {kind: np.array([np.frombuffer(f, "<f8") for h, f in found if h in hashes]) for kind, hashes in (("p", positive), ("u", unlabelled))}
+    return train(x["p"], x["u"], class_prior(x["p"], x["u"]))
 
 
 def score(documents: DataFrame, net: Scorer | None) -> DataFrame:
@@ -184,7 +223,7 @@ def score(documents: DataFrame, net: Scorer | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=schema)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return lean(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def scored(net: Scorer | None, texts: list[str | None]) -> np.ndarray:
@@ -194,16 +233,15 @@ def scored(net: Scorer | None, texts: list[str | None]) -> np.ndarray:
 
 
 def keep(documents: DataFrame, net: Scorer | None) -> DataFrame:
-    """The rows of ``documents``, all columns, that score ``THRESHOLD`` or more."""
-    from pyspark.sql.functions import pandas_udf
+    """The rows of ``documents``, all columns, that score ``THRESHOLD`` or more.
 
-    @pandas_udf("double")
-    def of(text):
-        import pandas as pd
-
-        return pd.Series(scored(net, [t if isinstance(t, str) else None for t in text]))
+    Null and empty texts score as a text without words, repeated rows alike; an empty table stays empty; columns pass
+    through whatever their names; without a trained scorer every row stays.
+    """
+    def of(text: pa.Array) -> pa.Array:
+        return pa.array(scored(net, text.to_pylist()))
 
-    return documents.where(of(F.col("text")) >= THRESHOLD)
+    return lean(documents).where(F.arrow_udf(of, "double")(F.col("text")) >= THRESHOLD)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

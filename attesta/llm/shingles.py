@@ -35,7 +35,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _batch(texts: list[bytes]) -> list[np.ndarray]:
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
@@ -44,7 +45,23 @@ def _batch(texts: list[bytes]) -> list[np.ndarray]:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     word = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    counts = np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), minlength=len(texts))
+    return word, np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), minlength=len(texts))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a whole text in order, A-Z lower-cased."""
+    with np.errstate(over="ignore"):
+        return _words([text.encode("utf-8", "surrogatepass")])[0]
+
+
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    with np.errstate(over="ignore"):
+        return mixed(words[:-1] * _STEP[0] + words[1:] * _STEP[1])
+
+
+def _batch(texts: list[bytes]) -> list[np.ndarray]:
+    word, counts = _words(texts)
     grams = np.zeros(len(word), np.uint64)
     if len(word) >= N:
         grams = sum((word[i : len(word) - N + 1 + i] * _STEP[i] for i in range(N)), np.uint64(0))

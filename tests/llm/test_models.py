@@ -223,6 +223,61 @@ def test_quality(spark):
     assert quality.fit(d, lab.limit(0)) is None and {r["score"] for r in quality.score(d, None).collect()} == {quality.DEFAULT_PRIOR}
 
 
+def plain_risk(zp, zu, prior):
+    def loss(z):
+        return math.log(1 + math.exp(-z))
+
+    called = sum(loss(-z) for z in zu) / len(zu) - prior * sum(loss(-z) for z in zp) / len(zp)
+    return prior * sum(map(loss, zp)) / len(zp), called
+
+
+@pytest.mark.parametrize("shift", [0.0, 4.0])
+def test_risk_and_its_slopes(shift):
+    """The value against a loop; the slopes against differences of the unbiased risk, or of its negative part upwards."""
+    r = np.random.default_rng(2)
+    zp, zu, prior = r.normal(size=6) + shift, r.normal(size=9) - shift, 0.6
+    value, gp, gu = quality.risk(zp, zu, prior)
+    first, called = plain_risk(zp, zu, prior)
+    assert value == pytest.approx(first + max(0.0, called)) and (called < 0) == (shift > 0)
+
+    def aim(a, b):
+        first, called = plain_risk(a, b, prior)
+        return first + called if shift == 0 else -called
+
+    for z, g, at in ((zp, gp, 0), (zu, gu, 1)):
+        for i in range(len(z)):
+            both = []
+            for e in (1e-5, -1e-5):
+                moved = [zp.copy(), zu.copy()]
+                moved[at][i] += e
+                both.append(aim(*moved))
+            assert g[i] == pytest.approx((both[0] - both[1]) / 2e-5, abs=1e-6)
+
+
+def test_gradient_of_the_scorer():
+    r = np.random.default_rng(4)
+    x, slope = r.normal(size=(5, quality.N_FEATURES)), r.normal(size=5)
+    net = quality.Scorer(x.mean(axis=0), x.std(axis=0) + 1e-3)
+    for k, g in net.gradient(x, slope).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, both = net.p[k][at], []
+        for e in (1e-5, -1e-5):
+            net.p[k][at] = old + e
+            both.append(float(slope @ net.logits(x)))
+        net.p[k][at] = old
+        assert g[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-4)
+
+
+def test_class_prior():
+    r = np.random.default_rng(8)
+    good, bad = r.normal(1, 1, (3000, quality.N_FEATURES)), r.normal(-1, 1, (3000, quality.N_FEATURES))
+    for share in (0.2, 0.5, 0.8):
+        n = int(share * 1500)
+        found = quality.class_prior(good[2000:], np.concatenate([good[:n], bad[: 1500 - n]])[r.permutation(1500)])
+        assert abs(found - share) < 0.08
+    assert quality.class_prior(good[:3], bad) == quality.DEFAULT_PRIOR
+
+
 def test_held_out(spark):
     import zlib
 
