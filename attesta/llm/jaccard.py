@@ -6,14 +6,19 @@ chance and shared passages do not bring about. The order is: rare tokens by hash
 hash; tokens count as frequent if several sets of one partition hold them and enough do in all. The order
 decides only cost, never results, so the list of frequent tokens may be (and is) bounded. Pairs are counted
 over the lists of up to ``SHORT`` sets; in a longer list, runs of compatible sizes become candidate edges
-as they are, so that no list is squared. Connected components of the candidate edges become units of work;
+as they are, so that no list is squared. A token known to be in many sets is split where it is met: the sets
+of one batch form a list of their own, and only the smallest and the largest of a size class go on into the
+common list, so that no task gets a list that grows with the corpus. Connected components of the candidate edges become units of work;
 large components are split by size class and then into block pairs, so that no task grows with the corpus.
 
-Verification. A unit holds its sets in an inverted index whose lists are ordered by set size. A set's
-overlaps with all others are counted from the lists of its tokens, skipping to the positions of
-compatible sizes; where a highly similar set has been answered already, its overlaps are taken over and
-corrected by the lists of the tokens in which the two differ. Only sets with words take part; equal sets
-are one node throughout.
+Verification. In a unit tokens are ordered from rare to frequent, and each token's list falls into two blocks
+by the token's position in the set: in front, where sets that are linked must meet, and behind. A set visits
+the front blocks of its own front tokens only, skips the blocks behind, enters each at the sets of compatible
+size, and counts overlaps with the sets met there. Where a highly similar set has been answered already, its
+overlaps are taken over and corrected by the lists of the tokens in which the two differ.
+
+Only sets with words take part; equal sets are one node throughout. A node is named by 64 bits of its tokens; a
+second, independent name tells different sets of one name apart, which then go by the second.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import let_go, sized, staged, table
+from attesta.llm.common import lean, let_go, sized, staged, table, unused
 from attesta.llm.components import components
 from attesta.llm.shingles import mixed, shingle_sets
 
@@ -37,29 +42,72 @@ FREQUENT, FREQUENT_SUM, COUNTED = 1 << 20, 4, 1 << 16
 SHORT, PER_MEETING = 64, 30
 #: Tokens of a unit of work, about.
 UNIT_TOKENS = 1_000_000
+#: What stands for a null id among the representatives of sets.
+NO_ID = -(1 << 63)
+#: Names that chance may give to several sets; more would be a fault.
+CLASHES = 1 << 16
 #: Bits of the filter that tells the set pass which documents are in units.
 FILTER_BITS = 1 << 25
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    parts = mixed(tokens ^ np.uint64(0xD6E8FEB86659FD93))
+def named(tokens: np.ndarray, salt: int) -> int:
+    """A 64-bit name of a set; those of different salts are independent."""
+    parts = mixed(tokens ^ np.uint64(salt))
     return int((mixed(np.add.reduce(parts, keepdims=True) ^ np.uint64(len(tokens))) ^ np.bitwise_xor.reduce(parts)).view(np.int64)[0])
 
 
+class Names:
+    """Names of sets: the first by default, the second for sets whose first name in ``met`` another set has too."""
+
+    def __init__(self, met: frozenset[int] = frozenset(), bits: int = 64):
+        self.met, self.bits = met, bits
+
+    def first(self, tokens: np.ndarray) -> int:
+        return named(tokens, 0xD6E8FEB86659FD93) >> (64 - self.bits)
+
+    def second(self, tokens: np.ndarray) -> int:
+        return named(tokens, 0xA0761D6478BD642F)
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        name = self.first(tokens)
+        return self.second(tokens) if name in self.met else name
+
+
 def meetings(n):
     """``k`` for a set of ``n`` tokens: a linked partner shares so many of their prefixes' tokens (the smaller set's count)."""
     return 1 + n // PER_MEETING
 
 
+def among(tokens: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which of ``tokens`` are in the sorted ``chosen``."""
+    if not len(chosen):
+        return np.zeros(len(tokens), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, tokens), len(chosen) - 1)] == tokens
+
+
 def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     n = len(tokens)
     size = n - (-(-PERCENT * n // 100)) + meetings(n)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
-        tokens = np.concatenate([tokens[~often], tokens[often]])
-    return tokens[:size]
+    often = among(tokens, frequent)
+    return np.concatenate([tokens[~often], tokens[often]])[:size]
+
+
+def split_lists(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, salt: int):
+    """One batch's entries of tokens that many sets hold -> entries in which no token has more than a few of the batch.
+
+    The members of a token and size class move to a token of their own; its smallest and its largest set stay
+    under the old one, so that the common list has the same gaps between sizes.
+    """
+    group = np.floor(np.log(sizes) / np.log(1.25)).astype(np.int64)
+    order = np.lexsort((nodes, sizes, group, tokens))
+    tokens, nodes, sizes, group = tokens[order], nodes[order], sizes[order], group[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])
+    edge = new.copy()
+    edge[:-1] |= new[1:]
+    edge[-1:] = True
+    own = mixed(tokens ^ mixed(group.astype(np.uint64) + np.uint64(salt)))
+    return np.concatenate([own, tokens[edge]]), np.concatenate([nodes, nodes[edge]]), np.concatenate([sizes, sizes[edge]])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -71,21 +119,31 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
                 yield part, shingle_sets(part.column(column).to_pylist())
 
 
-def nodes(documents: DataFrame) -> DataFrame:
-    """doc_id, node (null without words), n_shingles of every row."""
+def nodes(documents: DataFrame, names: Names) -> DataFrame:
+    """doc_id, text_hash, node and second (its other name; both null without words), n_shingles of every row."""
     def run(batches):
         for batch, sets in _texts(batches, 1):
+            first, second = ([name(s) if len(s) else None for s in sets] for name in (names.first, names.second))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                names=["doc_id", "node", "n_shingles"],
+                [batch.column(0), batch.column(2), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                names=["doc_id", "text_hash", "node", "second", "n_shingles"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long")
+    rows = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, second long, n_shingles long")
+
+
+def clashes(named_rows: DataFrame) -> frozenset[int]:
+    """First names that different sets share: of n sets about n * n / 2**65, so a few hundred even of 10**11."""
+    met = named_rows.where("node is not null").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a <> b").select("node").limit(CLASHES + 1).collect()
+    if len(met) > CLASHES:
+        raise ValueError("more names are shared than chance explains")
+    return frozenset(r["node"] for r in met)
 
 
-def frequent_tokens(documents: DataFrame) -> np.ndarray:
-    """Sorted tokens that leave the prefixes: of those that two different sets of one partition share, counts
-    summed over partitions, the ``FREQUENT`` commonest with ``FREQUENT_SUM`` or more."""
+def frequent_tokens(documents: DataFrame, names: Names) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted tokens that leave the prefixes, those of them that more than ``SHORT`` sets hold): of the tokens that two
+    different sets of one partition share, counts summed over partitions, the ``FREQUENT`` commonest with ``FREQUENT_SUM`` or more."""
     def run(batches):
         seen: set[int] = set()
         parts: list[np.ndarray] = []
@@ -104,7 +162,7 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
 
         for _, sets in _texts(batches, 0):
             for s in sets:
-                if len(s) and (name := node_of(s)) not in seen:
+                if len(s) and (name := names(s)) not in seen:
                     seen.add(name)
                     parts.append(s)
                     held += len(s)
@@ -127,34 +185,43 @@ def frequent_tokens(documents: DataFrame) -> np.ndarray:
         if found > FREQUENT:
             break
         least = row["n"]
-    tokens = sums.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy()
-    return np.sort(np.asarray(tokens, np.int64).view(np.uint64))
+    chosen = sums.where(F.col("n") >= least).select("token", "n").toArrow()
+    tokens, n = np.asarray(chosen.column(0).to_numpy(), np.int64).view(np.uint64), chosen.column(1).to_numpy()
+    return np.sort(tokens), np.sort(tokens[n > SHORT])
 
 
-def candidate_edges(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
+def candidate_edges(documents: DataFrame, frequent: np.ndarray, common: np.ndarray, names: Names) -> DataFrame:
     """Distinct (a, b): pairs that meet often enough in short lists, and in each long list every set with the
-    first of its run of compatible sizes."""
-    hot = documents.sparkSession.sparkContext.broadcast(frequent)
+    first of its run of compatible sizes. Lists of ``common`` tokens count as long whatever their length."""
+    hot = documents.sparkSession.sparkContext.broadcast((frequent, common))
 
     def run(batches):
+        from pyspark import TaskContext
+
+        often, shared = hot.value
         seen: set[int] = set()  # equal sets of a partition enter once
+        salt = (TaskContext.get().partitionId() + 1) << 32
         for _, sets in _texts(batches, 0):
-            named = {node_of(s): s for s in sets if len(s)}
-            named = {k: s for k, s in named.items() if k not in seen}
-            seen.update(named)
-            if named:
-                tokens = [prefix(s, hot.value) for s in named.values()]
-                times = [len(t) for t in tokens]
-                sizes = np.array([len(s) for s in named.values()], np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(list(named), np.int64), times)), pa.array(np.repeat(sizes, times))], names=["token", "node", "n"]
-                )
-
-    entries = documents.select("text").mapInArrow(run, "token long, node long, n int")
+            new = {names(s): s for s in sets if len(s)}
+            new = {k: s for k, s in new.items() if k not in seen}
+            seen.update(new)
+            salt += 1
+            if new:
+                parts = [prefix(s, often) for s in new.values()]
+                times = [len(t) for t in parts]
+                tokens, node = np.concatenate(parts), np.repeat(np.array(list(new), np.int64), times)
+                sizes = np.repeat(np.array([len(s) for s in new.values()], np.int32), times)
+                long = among(tokens, shared)
+                for whole, some in ((False, (tokens[~long], node[~long], sizes[~long])), (True, split_lists(tokens[long], node[long], sizes[long], salt * 64) if long.any() else None)):
+                    if some is not None and len(some[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(some[0].view(np.int64)), pa.array(some[1]), pa.array(some[2], pa.int32()), pa.array(np.full(len(some[0]), whole))], names=["token", "node", "n", "long"])
+
+    entries = documents.select("text").mapInArrow(run, "token long, node long, n int, long boolean")
     lists = entries.withColumn("sets", F.count("*").over(Window.partitionBy("token"))).where("sets > 1")
+    is_long = F.col("long") | (F.col("sets") > SHORT)
     # Short lists: bounded arrays, all pairs of compatible sizes, smaller set first.
     members = F.array_sort(F.collect_set(F.struct("n", "node")))
-    short = lists.where(F.col("sets") <= SHORT).groupBy("token").agg(members.alias("m"))
+    short = lists.where(~is_long).groupBy("token").agg(members.alias("m"))
     pairs = F.flatten(
         F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SHORT)), lambda y: 100 * x["n"] >= PERCENT * y["n"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("n"))))
     )
@@ -164,7 +231,7 @@ def candidate_edges(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
     before = F.lag("n").over(order)
     fresh = before.isNull() | (100 * before < PERCENT * F.col("n"))
     head = F.last(F.when(F.col("fresh"), F.col("node")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = lists.where(F.col("sets") > SHORT).withColumn("fresh", fresh).withColumn("head", head).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    runs = lists.where(is_long).withColumn("fresh", fresh).withColumn("head", head).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
     return near.unionByName(runs).distinct()
 
 
@@ -236,12 +303,20 @@ def linked(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     n = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(k), n)
     tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
-    code = code.reshape(-1)
-    shared = np.bincount(code)[code] > 1  # a token of one set links nothing
-    owner, code = owner[shared], code[shared]
+    times = np.bincount(code.reshape(-1), minlength=len(tokens))
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(tokens))
+    code = rank[code.reshape(-1)]  # from rare to frequent
+    shared = np.sort(times)[code] > 1  # a token of one set links nothing, but stands before all others
+    both = np.sort(owner[shared] * len(tokens) + code[shared])
+    owner, code = both // len(tokens), both % len(tokens)
     start = np.searchsorted(owner, np.arange(k + 1))
-    key = np.sort(code * k + owner)  # the lists, each in order of size
-    low, high = np.searchsorted(n, -(-PERCENT * PERCENT * n // 10_000)), np.searchsorted(n, 10_000 * n // (PERCENT * PERCENT), side="right")
+    position = np.arange(len(owner)) - start[owner] + (n - np.diff(start))[owner]
+    front = position <= (n - -(-PERCENT * n // 100))[owner]
+    # Each token's list in order of size: the block in front, and all of it.
+    ahead, whole = np.sort(code[front] * k + owner[front]), np.sort(code * k + owner)
+    fronts = np.bincount(owner[front], minlength=k)
+    high = np.searchsorted(n, 100 * n // PERCENT, side="right")
     parent = np.arange(k)
 
     def root(i: int) -> int:
@@ -250,37 +325,47 @@ def linked(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
             i = parent[i]
         return i
 
-    def counts(part: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Of each set in [lo, hi), how many of the tokens ``part`` it holds; lists are entered at ``lo`` and left at ``hi``."""
-        first, last = np.searchsorted(key, part * k + lo), np.searchsorted(key, part * k + hi)
-        sizes = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return np.bincount(key[at] % k - lo, minlength=hi - lo)
+    def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers first[i], ..., first[i] + sizes[i] - 1 for every i."""
+        return np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
+    def members(lists: np.ndarray, part: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The sets in [lo, hi) that stand in the lists of the tokens ``part``, once for each; the others are skipped."""
+        first, last = np.searchsorted(lists, part * k + lo), np.searchsorted(lists, part * k + hi)
+        return lists[spread(first, last - first)] % k
 
-    known: dict[int, np.ndarray] = {}
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     twin = np.full(k, -1)
     apart = np.full(k, np.iinfo(np.int64).max)
+    mark = np.zeros(len(tokens), bool)
     for x in range(k):
         mine = code[start[x] : start[x + 1]]
-        if not len(mine):
+        lo, hi = x + 1, int(high[x])
+        met = np.unique(members(ahead, mine[: fronts[x]], lo, hi)) if fronts[x] and lo < hi else np.zeros(0, np.int64)
+        if not len(met):
             continue
+        overlap, todo = np.zeros(len(met), np.int64), np.ones(len(met), bool)
         r = int(twin[x])
-        if r >= 0 and r in known:
-            theirs = code[start[r] : start[r + 1]]
-            lo, hi = int(low[r]), int(high[r])
-            overlap = known[r] + counts(np.setdiff1d(mine, theirs, True), lo, hi) - counts(np.setdiff1d(theirs, mine, True), lo, hi)
-        else:
-            lo, hi = int(low[x]), int(high[x])
-            overlap = counts(mine, lo, hi)
-            differ = n[lo:hi] + n[x] - 2 * overlap
-            close = np.flatnonzero((differ * 5 < n[lo:hi]) & (differ < apart[lo:hi])) + lo
-            close = close[close > x]
-            if len(close):
-                known[x] = overlap
-                twin[close], apart[close] = x, differ[close - lo]
-                if len(known) > 64:
-                    del known[next(iter(known))]
-        for y in np.flatnonzero(100 * overlap >= PERCENT * (n[lo:hi] + n[x] - overlap)) + lo:
+        if r in known:
+            theirs, (their_met, their_overlap) = code[start[r] : start[r + 1]], known[r]
+            at = np.minimum(np.searchsorted(their_met, met), len(their_met) - 1)
+            todo = their_met[at] != met
+            more, less = (np.bincount(members(whole, np.setdiff1d(a, b, True), lo, hi) - lo, minlength=hi - lo) for a, b in ((mine, theirs), (theirs, mine)))
+            overlap = np.where(todo, 0, their_overlap[at] + more[met - lo] - less[met - lo])
+        if todo.any():
+            mark[mine] = True
+            others = met[todo]
+            sizes = start[others + 1] - start[others]
+            overlap[todo] = np.add.reduceat(mark[code[spread(start[others], sizes)]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            mark[mine] = False
+        differ = n[met] + n[x] - 2 * overlap
+        close = (differ * 5 < n[met]) & (differ < apart[met])
+        if close.any():
+            known[x] = met, overlap
+            twin[met[close]], apart[met[close]] = x, differ[close]
+            if len(known) > 64:
+                del known[next(iter(known))]
+        for y in met[100 * overlap >= PERCENT * (n[met] + n[x] - overlap)]:
             a, b = root(x), root(int(y))
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -292,76 +377,90 @@ def linked(names: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(documents: DataFrame, dealt: DataFrame, members: int) -> DataFrame:
+def links(documents: DataFrame, dealt: DataFrame, members: int, names: Names) -> DataFrame:
     """(a, b): within each unit, each set that is linked with another, and the smallest name of its group there."""
     there = documents.sparkSession.sparkContext.broadcast(_member_filter(dealt))
 
     def sets_of(batches):
         for batch in batches:
-            ids = batch.column(0)
-            some = there.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            # Rows without an id stand for a text that only such rows hold.
+            some = there.value.has(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
             picked = batch.filter(pa.array(some))
             for part, sets in _texts(iter([picked]), 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "node", "tokens"])
 
     sets = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets_of, "rep long, node long, tokens binary")
     dealt = sized(dealt, members)
     # Repeated ids may bring other texts under a representative's id: both must agree.
-    rows = sets.join(dealt, ["rep", "node"]).select("unit", "node", "tokens")
+    rows = sets.withColumn("rep", F.coalesce("rep", F.lit(NO_ID))).join(dealt, ["rep", "node"]).select("unit", "node", "tokens")
 
     def run(group):
         let_go()
-        names, at = np.unique(group.column("node").to_numpy(), return_index=True)
+        distinct, at = np.unique(group.column("node").to_numpy(), return_index=True)
         tokens = group.column("tokens").take(pa.array(at)).to_pylist()
         with np.errstate(over="ignore"):
-            least = linked(names, [np.frombuffer(t, np.uint64) for t in tokens])
-        other = least != names
-        return pa.table({"a": pa.array(least[other]), "b": pa.array(names[other])})
+            least = linked(distinct, [np.frombuffer(t, np.uint64) for t in tokens])
+        other = least != distinct
+        return pa.table({"a": pa.array(least[other]), "b": pa.array(distinct[other])})
 
     return rows.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
-def join(documents: DataFrame) -> DataFrame:
+def join(documents: DataFrame, name_bits: int = 64) -> DataFrame:
     """Return doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links.
 
     Needs doc_id and text. Words are maximal runs of anything but ASCII white space, A-Z lower-cased; a
     set holds all distinct shingles of five words, or the whole sequence if there are fewer. A null,
     empty or blank text has an empty set, is linked with nothing and is its own component; equal sets
-    are linked. Repeated rows count each; a null doc_id never names a component that has another id.
-    An empty table gives an empty result; other columns are ignored. Texts are read whole.
+    are linked. Repeated rows count each; a null doc_id never names a component that has another id, but
+    its text links like any other. An empty table gives an empty result; other columns are ignored. Texts
+    are read whole. Sets are named by ``name_bits``; results do not depend on it.
     """
-    documents = documents.select("doc_id", "text")
-    named = staged(nodes(documents), "nodes")
-    edges = candidate_edges(documents, frequent_tokens(documents))
+    return _grouped(documents, name_bits).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(documents: DataFrame, name_bits: int = 64) -> DataFrame:
+    """What ``join`` returns, with text_hash and ``root``, which tells the components of one smallest id apart (null without words)."""
+    documents = lean(documents).select("doc_id", "text")
+    found = staged(nodes(documents, Names(bits=name_bits)), "nodes")
+    names = Names(clashes(found), name_bits)
+    if names.met:
+        found = found.withColumn("node", F.when(F.col("node").isin(list(names.met)), F.col("second")).otherwise(F.col("node")))
+    edges = candidate_edges(documents, *frequent_tokens(documents, names), names)
     groups = staged(components(edges), "candidates")
-    info = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    members = info.join(groups.select("node", F.col("root").alias("comp")), "node").where("rep is not null")
+    info = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    members = info.join(groups.select("node", F.col("root").alias("comp")), "node")
+    members = members.withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))
     dealt = staged(units(staged(members, "members")), "units")
-    found = components(links(documents, dealt, dealt.count()))
+    linked_nodes = components(links(documents, dealt, dealt.count(), names))
     # Node -> component: the smallest document of all nodes under one root.
-    rooted = info.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    rooted = info.join(linked_nodes, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = rooted.join(least, "root").select("node", "component_id")
-    return named.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_node = rooted.join(least, "root").select("node", "root", "component_id")
+    return found.join(by_node, "node", "left").select("doc_id", "text_hash", "root", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """``documents``, all columns, with one row of each component: that of its smallest doc_id.
 
-    Rows without words and rows with a null doc_id all stay; of repeated rows of one id the first in
-    order of text stays.
+    Rows without words (null, empty or blank texts) and rows with a null doc_id all stay. Where several rows
+    of that id are in the component, one with the least text hash stays. An empty table stays empty; columns
+    pass through whatever their names.
     """
-    found = staged(join(documents), "components")
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    kept = documents.join(sized(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if again.isEmpty():
+    found = staged(_grouped(documents), "components")
+    own = found.where("doc_id = component_id and root is not null")
+    key, digest, nth = (unused(documents, n) for n in ("gone_id", "gone_hash", "nth"))
+    several = staged(own.groupBy("doc_id", "root").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1"), "several")
+    other = found.where("doc_id <> component_id").select("doc_id", "text_hash").union(own.join(several, ["doc_id", "root"]).where("text_hash <> least").select("doc_id", "text_hash"))
+    gone = staged(other.distinct().toDF(key, digest), "gone")
+    same = (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(digest))
+    kept = documents.join(sized(gone, gone.count()), same, "left_anti")
+    if several.isEmpty():
         return kept
-    again = staged(again, "again")
-    once = kept.join(again, F.col("doc_id") == F.col("__gone"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    twice = kept.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return once.unionByName(twice)
+    again = several.select("doc_id", "least").toDF(key, digest)
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
+    twice = kept.join(again, same, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    return kept.join(again, same, "left_anti").unionByName(twice)
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

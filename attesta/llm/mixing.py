@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import WORD, sized, staged, table
+from attesta.llm.common import WORD, sized, staged, table, unused
 
 BUCKETS = 4096
 WEIGHTS = (1, 2, 3)
@@ -107,12 +107,17 @@ def mix(documents: DataFrame, weights=WEIGHTS, weight: Column | None = None) ->
 
 
 def apply(documents: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """``documents``, all columns, each row as often as the mix takes it; a row cut by its budget stays if half of it is within."""
+    """``documents``, all columns, each row as often as the mix takes it; a row cut by its budget stays if half of it is within.
+
+    Rows without words (null, empty or blank texts) take nothing and go; a null source is a source of its
+    own; rows that repeat an id are taken as often as the one taken most; an empty table stays empty;
+    columns pass through whatever their names.
+    """
     taken = staged(mix(documents, weights), "taken")
-    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0")
-    columns = documents.columns
-    joined = documents.join(sized(copies, taken.count()), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    key, copies = unused(documents, "id_taken"), unused(documents, "copies_taken")
+    often = taken.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(copies)).where(F.col(copies) > 0)
+    joined = documents.join(sized(often, taken.count()), F.col("doc_id").eqNullSafe(F.col(key))).drop(key)
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

