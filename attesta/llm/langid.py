@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import held_out, table
+from attesta.llm.common import held_out, lean, table
 
 HIDDEN = 12
 #: Labelled rows a language that training reads at most, and characters of each.
@@ -229,7 +229,7 @@ def predict(documents: DataFrame, net: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred), pa.array(score)], schema=schema)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return lean(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from attesta.llm.common import new_path, table
+from attesta.llm.common import lean, new_path, table
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_type string, target_uri string, record_id string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -292,7 +292,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = Tr
         finish()
         yield pa.RecordBatch.from_pydict({"file": names, "records": counts}, pa.schema([("file", pa.string()), ("records", pa.int64())]))
 
-    return deduplicated(pages, least_bytes).select("page_id", "url", "html", "first_id").mapInArrow(run, "file string, records long")
+    return lean(deduplicated(pages, least_bytes)).select("page_id", "url", "html", "first_id").mapInArrow(run, "file string, records long")
 
 
 def archive(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = True) -> None:
