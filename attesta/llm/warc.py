@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from attesta.llm.common import lean, new_path, table
+from attesta.llm.common import lean, new_path, sized, staged, table
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_type string, target_uri string, record_id string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -132,8 +132,8 @@ class _Zipped(_Plain):
 
 
 def _one_line(text: str | None) -> str:
-    """A header value holds no line ends; others of its characters stay."""
-    return "".join("%%%02X" % ord(c) if c in "\r\n%" else c for c in text or "")
+    """A header value holds no line ends, which are percent-encoded; all other characters stay."""
+    return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
 def record_id(page_id) -> str:
@@ -167,7 +167,9 @@ class WarcSource(DataSource):
 class WarcReader(DataSourceReader):
     """Options: ``path``; ``payload`` "false" leaves payloads undecoded (their column is null).
 
-    A partition is one file, which the writer bounds. Equality and IN predicates on record type,
+    Every record is a row, those about the archive itself too. A payload is what follows the HTTP headers of
+    a block that has them, else the block; a revisit has none. Headers that a record lacks are null, as is
+    a missing digest; ``payload_bytes`` is the length that HTTP headers state, else that of the payload. A partition is one file, which the writer bounds. Equality and IN predicates on record type,
     target, record id and refers-to are applied to the headers before the payload is touched.
     """
 
@@ -193,6 +195,10 @@ class WarcReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
         return [_File(scheme + f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith((".warc", ".warc.gz"))] or [_File("")]
 
+    @staticmethod
+    def _int(value: str | None) -> int | None:
+        return int(value) if value and value.isdigit() else None
+
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
@@ -204,24 +210,38 @@ class WarcReader(DataSourceReader):
         at, end = 0, file.size()
         while at < end:
             lead = file.read_at(1 << 13, at)
+            if lead[:2] == b"\r\n":  # between records
+                at += 2
+                continue
             found = (_Zipped if lead[:2] == b"\x1f\x8b" else _Plain)(file, at, lead)
             stop = found.find(b"\r\n\r\n", 0)
             head = dict(self._header(line) for line in found.data[:stop].decode("utf-8", "replace").split("\r\n")[1:])
-            block, length = stop + 4, int(head["content-length"])
+            block, length = stop + 4, self._int(head.get("content-length")) or 0
             for name in ("warc-record-id", "warc-refers-to"):
                 if name in head:
                     head[name] = head[name].strip("<>")
             if all(head.get(name) in values for name, values in self.wanted.items()):
-                http_end = found.find(b"\r\n\r\n", block) + 4
-                http = dict(self._header(line) for line in found.data[block : http_end - 4].decode("utf-8", "replace").split("\r\n")[1:])
+                start, stated = self._payload(found, head, block, length)
                 payload = None
-                if self.decode and "payload" in self.columns and head["warc-type"] == "response":
-                    payload = bytes(found.upto(block + length)[http_end : block + length])
+                if self.decode and "payload" in self.columns and head.get("warc-type") != "revisit":
+                    payload = bytes(found.upto(block + length)[start : block + length])
+                digest_of = head.get("warc-payload-digest")
                 values = {column: head.get(name) for column, name in HEADERS.items()}
-                values |= {"payload_digest": head["warc-payload-digest"].removeprefix("sha1:"), "payload_bytes": int(http["content-length"]), "payload": payload}
+                values |= {"payload_digest": digest_of and digest_of.removeprefix("sha1:"), "payload_bytes": block + length - start if stated is None else stated, "payload": payload}
                 yield tuple(values[c] for c in self.columns)
             at = found.next(block + length + 4)
 
+    def _payload(self, found: _Plain, head: dict, block: int, length: int) -> tuple[int, int | None]:
+        """(where the payload begins, the length that HTTP headers state): behind the HTTP headers of a block that has them, else at its begin."""
+        if not head.get("content-type", "").lower().startswith("application/http"):
+            return block, None
+        n = min(length, 2048)
+        while (end := found.upto(block + n).find(b"\r\n\r\n", block, block + n)) < 0 and n < length:
+            n = min(length, n * 4)
+        end = block + length if end < 0 else end + 4
+        http = dict(self._header(line) for line in found.data[block:end].decode("utf-8", "replace").rstrip("\r\n").split("\r\n")[1:])
+        return end, self._int(http.get("content-length"))
+
     @staticmethod
     def _header(line: str) -> tuple[str, str]:
         name, _, value = line.partition(":")
@@ -236,19 +256,21 @@ def register(spark: SparkSession) -> None:
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``page_id, url, html`` with ``first_id``: of pages with equal payloads of ``least_bytes`` or more, the smallest id (else null).
 
-    Payload digests are summed map-side; only digests that occur twice are joined back, and the join's
-    hot digests are dealt anew by adaptive execution.
+    Payload digests are summed map-side; only digests that occur twice are joined back. They are counted
+    first: few enough are broadcast, and the pages then move nowhere; more are joined by a shuffle whose hot
+    digests adaptive execution deals anew.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    sized = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    pages = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     twice = (
-        sized.where(F.col("n") >= least_bytes)
+        pages.where(F.col("n") >= least_bytes)
         .groupBy("digest", "n")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
         .select("digest", "n", "first_id")
     )
-    return sized.join(twice, ["digest", "n"], "left").select("page_id", "url", "html", "first_id")
+    twice = staged(twice, "digests")
+    return pages.join(sized(twice, twice.count()), ["digest", "n"], "left").select("page_id", "url", "html", "first_id")
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = True) -> DataFrame:
@@ -256,7 +278,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, compress: bool = Tr
 
     Null html is an empty payload, a null url an empty target; a null page_id gets an id without a
     number and never is the one that others revisit unless all are null. Repeated rows are records
-    of their own (the first stays the response). File names hold partition and attempt; a task that
+    of their own; those that repeat the smallest page_id of a payload are all responses. File names hold partition and attempt; a task that
     is run again leaves only the files it reports, the others are removed before reading.
     """
 

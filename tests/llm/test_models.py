@@ -141,6 +141,41 @@ def test_warc_round_trip(spark, tmp_path, kind):
     assert spark.read.format("warc").load(empty).count() == 0
 
 
+def test_warc_urls_stay(spark, tmp_path):
+    urls = ["https://x.de/a%20b?q=100%25", "https://x.de/ü", "u\r\nx: y"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.archive(pages, f"file://{tmp_path}/u")
+    warc.register(spark)
+    df = spark.read.format("warc").load(f"file://{tmp_path}/u")
+    assert {r["target_uri"] for r in df.collect()} == {*urls[:2], "u%0D%0Ax: y"}
+    assert [r["record_id"] for r in df.where(F.col("target_uri") == urls[0]).collect()] == ["urn:page:0"]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """A plain file as crawlers write it: records about the archive, requests, blocks without HTTP, missing headers."""
+    def record(kind, headers, block):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *headers, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 3000 + b"\r\n\r\n"
+    data = [
+        record("warcinfo", ["WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        record("request", ["WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        record("response", ["WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=response"], http + b"<p>hi"),
+        record("metadata", ["Content-Type: application/warc-fields"], b"via: http://b/"),
+        record("resource", ["WARC-Target-URI: file:/x", "Content-Type: text/plain", "WARC-Payload-Digest: sha1:ABC"], b"plain"),
+        record("response", ["Content-Type: application/http"], b"HTTP/1.1 204 No Content\r\n"),
+        record("conversion", [], b""),
+    ]
+    (tmp_path / "o.warc").write_bytes(data[0] + b"\r\n" + b"".join(data[1:]))
+    warc.register(spark)
+    rows = spark.read.format("warc").load(f"file://{tmp_path}").collect()
+    assert [(r["record_type"], bytes(r["payload"]), r["payload_bytes"]) for r in rows] == [
+        ("warcinfo", b"software: x\r\n", 13), ("request", b"", 0), ("response", b"<p>hi", 5), ("metadata", b"via: http://b/", 14), ("resource", b"plain", 5), ("response", b"", 0), ("conversion", b"", 0),
+    ]
+    assert rows[4]["payload_digest"] == "ABC" and rows[2]["payload_digest"] is None and rows[0]["record_id"] == "urn:uuid:1"
+
+
 def test_members_are_gzip():
     import gzip
 
@@ -181,6 +216,40 @@ def test_langid(speech, monkeypatch):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_predictions_against_a_loop(spark):
+    """Every byte by itself, both directions in plain loops, windows as the operator cuts them."""
+    rnd = random.Random(12)
+    net = langid.Network(["aa", "bb", "cc"], seed=3)
+    texts = ["".join(rnd.choice("abckloü +1") for _ in range(n)) + "a" for n in (1, 5, 127, 128, 129, 300)]
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, net.hidden
+
+    def states(d, codes):
+        h, out = np.zeros(size), []
+        for c in codes:
+            a = p["in" + d][:, c] + p["state" + d] @ h
+            z, n = np.clip(a[:size], 0, 1), np.clip(a[size:], -1, 1)
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    rows = [(i, t) for i, t in enumerate(texts)] * 2  # repeated rows
+    got = langid.predict(spark.createDataFrame([*rows, (90, "12 +"), (91, None), (92, "")], "doc_id long, text string").repartition(2), net).collect()
+    for r in got:
+        if r["doc_id"] >= 90:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        codes, total = texts[r["doc_id"]].encode(), np.zeros(3)
+        for at in range(0, len(codes), langid.WINDOW):
+            part = codes[at : at + langid.WINDOW]
+            padded = part + bytes([langid.PAD]) * (langid.WINDOW - len(part))
+            forward, backward = states("f", padded), states("b", padded[::-1])[::-1]
+            for t in range(len(part)):
+                s = np.exp(p["outf"] @ forward[t] + p["outb"] @ backward[t] + p["bias"][:, 0])
+                total += s / s.sum()
+        assert r["lang_pred"] == net.languages[int(total.argmax())] and r["score"] == pytest.approx(total.max() / len(codes), abs=1e-4)
+    assert len(got) == 15
+
+
 def test_network_gradient():
     net, r = langid.Network(["a", "b", "c"], hidden=4), np.random.default_rng(0)
     x, y = r.integers(0, 256, (9, 7)), np.arange(7) % 3
