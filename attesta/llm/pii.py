@@ -93,7 +93,9 @@ def open_spans(text: Column) -> Column:
         return F.transform(chosen, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
 
     numbers = let(spans("number", text, LOOSE_NUMBER), lambda n: F.concat(read_as("phone", n, 8, 15), read_as("card", n, 13, 19)))
-    return F.array_distinct(F.concat(spans("email", text, LOOSE_EMAIL, signed), spans("email", text, TIGHT_EMAIL, signed), spans("ip", text, LOOSE_IP), numbers))
+    # Where the second mail pattern has a match the first has one too.
+    mails = let(spans("email", text, LOOSE_EMAIL, signed), lambda m: F.when(F.size(m) == 0, m).otherwise(F.concat(m, spans("email", text, TIGHT_EMAIL))))
+    return F.array_distinct(F.concat(mails, spans("ip", text, LOOSE_IP), numbers))
 
 
 def features(text: Column, s: Column) -> list[Column]:
