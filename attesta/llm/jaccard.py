@@ -38,6 +38,8 @@ from attesta.llm.shingles import mixed, shingle_sets
 PERCENT = 80
 #: Frequent tokens passed to the workers at most (8 bytes each), and the sum of local counts that makes one.
 FREQUENT, FREQUENT_SUM, COUNTED = 1 << 20, 4, 1 << 16
+#: Tokens that a worker gathers before it counts them.
+COUNT_AT = 500_000
 #: Sets of a list whose pairs are counted one by one, and tokens of a set for each list in which a partner must be met.
 SHORT, PER_MEETING = 64, 30
 #: Tokens of a unit of work, about.
@@ -166,9 +168,9 @@ def frequent_tokens(documents: DataFrame, names: Names) -> tuple[np.ndarray, np.
                     seen.add(name)
                     parts.append(s)
                     held += len(s)
-            if held > 1_000_000:
+            if held > COUNT_AT:
                 totals, parts, held = merged(), [], 0
-                if len(totals[0]) > 3_000_000:  # bounded: what has been met once only is let go
+                if len(totals[0]) > 2 * COUNT_AT:  # bounded: what has been met once only is let go
                     more = totals[1] > 1
                     totals = totals[0][more], totals[1][more]
         values, count = merged()
