@@ -143,7 +143,7 @@ FOUND = "query_id long, vec_id long, score long, blocks long"
 
 
 def _searched(blocks: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """``FOUND`` rows of every query (vec_id, embedding, least) in the blocks that share its ``keys``; besides its best
+    """``FOUND`` rows of every query (vec_id, embedding, least, least_id: the k-th score and id that it knows) in the blocks that share its ``keys``; besides its best
     a query has one row without vec_id, whose score counts the blocks it scored, out of ``blocks``."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("blocks", pa.int64())])
 
@@ -152,12 +152,15 @@ def _searched(blocks: DataFrame, asked: DataFrame, keys: list[str], k: int) -> D
             return schema.empty_table()
         ids, docs, starts = _loaded(left)
         query_ids, q = vectors.matrix(right)
-        known = dict(zip(right.column("vec_id").to_pylist(), right.column("least").to_pylist(), strict=True))
+        known = {i: (s, v) for i, s, v in zip(*(right.column(c).to_pylist() for c in ("vec_id", "least", "least_id")), strict=True)}
         docs, q = vectors.same_width(docs, q)
         least = [known[i] for i in query_ids.tolist()]
-        floor = np.array([-(1 << 200) if x is None or x == LONG.min else x for x in least], object)
+        floor = np.array([-(1 << 200) if s is None or s == LONG.min else s for s, _ in least], object)
         at, found, score, scored = search(ids, docs, query_ids, weights(q), k, starts, floor)
         held = [min(max(int(s), int(LONG.min)), int(LONG.max)) for s in score]
+        # A score equal to the k-th known counts only under a smaller id.
+        some = [s != least[a][0] or v <= least[a][1] for a, v, s in zip(at, found, held, strict=True)]
+        at, found, held = at[some], found[some], [s for s, h in zip(held, some, strict=True) if h]
         columns = [np.concatenate([query_ids[at], query_ids]).tolist(), [*found.tolist(), *[None] * len(query_ids)], [*held, *scored.tolist()], [*[None] * len(held), *[len(starts)] * len(query_ids)]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
@@ -173,9 +176,9 @@ def _found(embeddings: DataFrame, k: int) -> DataFrame:
     shards = 1 if shards is None else shards + 1
     queries = rows.where(F.col("vec_id") % vectors.QUERY_EVERY == 0)
     own = F.pmod(F.xxhash64("vec_id", F.lit("first")), F.lit(shards)).cast("int")
-    first = staged(_searched(blocks, queries.withColumn("least", F.lit(None).cast("long")).withColumn("shard", own), ["shard"], k), "first")
+    first = staged(_searched(blocks, queries.withColumn("least", F.lit(None).cast("long")).withColumn("least_id", F.lit(None).cast("long")).withColumn("shard", own), ["shard"], k), "first")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    kth = first.where("vec_id is not null").withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    kth = first.where("vec_id is not null").withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"), F.col("vec_id").alias("least_id"))
     groups = max(1, -(-n_queries // vectors.GROUP))
     others = (
         queries.join(sized(kth, n_queries), "vec_id", "left")
