@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions.text import let
+
 # Month names, in full and short.
 MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 ALIASES = {"maerz": 3, "mär": 3, "jan": 1, "feb": 2, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "nov": 11, "dez": 12}
@@ -20,10 +22,8 @@ def iso_date(text: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for word, n in [*((m.lower(), i) for i, m in enumerate(MONTHS, 1)), *ALIASES.items()]:
-        out = F.when(F.lower(name) == word, F.lit(n)).otherwise(out)
-    return out
+    words = [*((m.lower(), i) for i, m in enumerate(MONTHS, 1)), *ALIASES.items()]
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in words for v in pair]), F.lower(name))
 
 
 def german_date(text: Column) -> Column:
@@ -32,10 +32,16 @@ def german_date(text: Column) -> Column:
     def part(i: int) -> Column:
         return F.regexp_extract(text, NAMED, i)
 
-    month = month_number(part(2))
-    named = F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
-    numeric = F.regexp_extract(text, NUMERIC, 1)
-    return F.when(month.isNotNull(), named).when(numeric != "", F.try_to_date(numeric, "d.M.yyyy")).otherwise(iso_date(text))
+    def named(p: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", p["year"], F.lpad(p["month"].cast("string"), 2, "0"), F.lpad(p["day"], 2, "0")), "yyyy-MM-dd")
+
+    def numeric(found: Column) -> Column:
+        return F.when(found != "", F.try_to_date(found, "d.M.yyyy")).otherwise(iso_date(text))
+
+    parts = F.struct(part(1).alias("day"), month_number(part(2)).alias("month"), part(3).alias("year"))
+    # Without a digit before a full stop there is neither a written-out nor a numeric date.
+    dotted = let(parts, lambda p: F.when(p["month"].isNotNull(), named(p)).otherwise(let(F.regexp_extract(text, NUMERIC, 1), numeric)))
+    return F.when(text.rlike(r"[0-9]\."), dotted).otherwise(iso_date(text))
 
 
 def month_year(day: Column) -> Column:

@@ -13,6 +13,11 @@ CAP_MARK = "\n[cut]"
 BRANDS_AT_MOST, BRAND_CHARS = 8, 80
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for use inside ``body``; within lambdas a column used twice is evaluated twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -85,10 +90,16 @@ def queries(category: Column, city: Column, shop: Column) -> Column:
 
 
 def brands(names: Column) -> Column:
-    """Collapsed, cut to ``BRAND_CHARS``, the first spelling of each, ``BRANDS_AT_MOST`` of them."""
-    clean = F.filter(F.transform(names, lambda n: F.substring(collapsed(n), 1, BRAND_CHARS)), lambda n: n != "")
-    first = F.filter(clean, lambda n, i: F.array_position(F.transform(clean, lambda m: F.lower(m)), F.lower(n)) == i + 1)
-    return F.slice(first, 1, BRANDS_AT_MOST)
+    """Collapsed, each new one cut to ``BRAND_CHARS``, ``BRANDS_AT_MOST`` of them.
+
+    A name is new if no kept one, as cut, has its whole lower-case spelling: the cut comes after the comparison.
+    """
+    clean = F.filter(F.transform(names, collapsed), lambda n: n != "")
+
+    def add(kept: Column, name: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(name)), kept).otherwise(F.concat(kept, F.array(F.substring(name, 1, BRAND_CHARS))))
+
+    return F.slice(F.aggregate(clean, F.array().cast("array<string>"), add), 1, BRANDS_AT_MOST)
 
 
 @pandas_udf(StringType())

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from attesta.functions.text import let
+
 # Reserved networks and why they are refused.
 NETWORKS = (
     ("0.0.0.0/8", "unspecified"), ("10.0.0.0/8", "private"), ("100.64.0.0/10", "carrier-grade NAT"), ("127.0.0.0/8", "loopback"), ("169.254.0.0/16", "link-local (cloud metadata)"),
@@ -19,13 +21,15 @@ NETWORKS = (
 )
 
 
+_NETS = tuple((ipaddress.ip_network(c), why) for c, why in NETWORKS)
+
+
 def number(address: Column) -> Column:
     """An IPv4 address as a number, null for anything else."""
-    p = F.split(address, r"\.")
     shape = address.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$")
-    parts = [F.try_element_at(p, F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)]
-    fits = shape & (F.greatest(*parts) <= 255)
-    return F.when(fits, ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3])
+    parts = F.transform(F.split(address, r"\."), lambda p: p.try_cast("bigint"))
+    joined = let(parts, lambda p: F.when(F.forall(p, lambda x: x <= 255), F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)))
+    return F.when(shape, joined)
 
 
 def ranges() -> list[tuple[int, int, str]]:
@@ -35,28 +39,32 @@ def ranges() -> list[tuple[int, int, str]]:
 
 def refused_v4(address: Column) -> Column:
     """Why an IPv4 address is refused, null for a public one: a few comparisons, no join needed."""
-    n, out = number(address), F.lit(None).cast("string")
-    for low, high, why in reversed(ranges()):
-        out = F.when(n.between(low, high), F.lit(why)).otherwise(out)
-    return out
+    def judged(n: Column) -> Column:
+        out = F.when(n.isNull(), F.lit(None).cast("string"))
+        for low, high, why in ranges():
+            out = out.when(n.between(low, high), why)
+        return out
+
+    return let(number(address), judged)
 
 
 @pandas_udf(StringType())
 def refused(address: pd.Series) -> pd.Series:
-    """As ``refused_v4`` for both families; an IPv4 address in IPv6 notation is judged as itself."""
-    nets = [(ipaddress.ip_network(c), why) for c, why in NETWORKS]
-
+    """As ``refused_v4`` for both families; an IPv4 address in IPv6 notation is judged as itself. Each distinct address is parsed once."""
     def one(text):
         try:
             a = ipaddress.ip_address(text)
         except (TypeError, ValueError):
             return None
         a = getattr(a, "ipv4_mapped", None) or a
-        return next((why for net, why in nets if a.version == net.version and a in net), None)
+        return next((why for net, why in _NETS if a.version == net.version and a in net), None)
 
-    return address.map(one)
+    return address.map({text: one(text) for text in address.unique()})
 
 
 def verdict(resolved: DataFrame) -> DataFrame:
-    """(host, address) -> (host, allowed): one refused address refuses the host."""
-    return resolved.groupBy("host").agg(F.bool_and(refused(F.col("address")).isNull()).alias("allowed"))
+    """(host, address) -> (host, allowed): one refused address refuses the host. Only addresses other than IPv4 pass through Python."""
+    v4 = number(F.col("address")).isNotNull()
+    plain = resolved.where(v4).select("host", refused_v4(F.col("address")).isNull().alias("fine"))
+    other = resolved.where(~v4 | F.col("address").isNull()).select("host", refused(F.col("address")).isNull().alias("fine"))
+    return plain.unionByName(other).groupBy("host").agg(F.bool_and("fine").alias("allowed"))

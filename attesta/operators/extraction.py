@@ -131,20 +131,24 @@ def permissions(wanted: DataFrame, policies: DataFrame, agent: str, most_delay:
 
 
 def frontier(documents: DataFrame, roots: DataFrame, site_of: str = "site", most: int = 50) -> DataFrame:
-    """Sitemap documents reached from the roots, at most ``most`` a site, each once, in breadth-first order.
+    """Sitemap documents reached from the roots, at most ``most`` a site, each once, in the order of a breadth-first queue.
 
-    ``documents``: site, url, children (array of addresses). ``roots``: site, url. Driven by depth: every
-    round joins one level and stops when a level is empty, so lineage stays as short as the deepest site.
+    ``documents``: site, url, children (array of addresses). ``roots``: site, url, and seq where their order
+    matters (else by address). A level's addresses are numbered in the order in which the level before lists
+    them, so the cut keeps what a queue would have read. Driven by depth: every round joins one level, is
+    checkpointed where a checkpoint folder is set, and stops when a level is empty.
     """
-    known = roots.select(site_of, "url", F.lit(0).alias("depth"))
-    level = known
+    seq = F.col("seq") if "seq" in roots.columns else F.row_number().over(Window.partitionBy(site_of).orderBy("url"))
+    level = roots.select(site_of, "url", seq.cast("long").alias("seq")).groupBy(site_of, "url").agg(F.min("seq").alias("seq"))
+    known = level.withColumn("depth", F.lit(0))
+    durable = documents.sparkSession.sparkContext.getCheckpointDir() is not None
     depth = 0
-    while not level.isEmpty():
+    while depth < most and not level.isEmpty():
         depth += 1
-        children = level.join(documents, [site_of, "url"]).select(site_of, F.explode("children").alias("url")).where(urls.same_site(F.col("url"), F.col(site_of))).distinct()
-        level = children.join(known, [site_of, "url"], "left_anti").withColumn("depth", F.lit(depth))
-        known = known.unionByName(level)
-        if depth >= most:
-            break
-    nth = F.row_number().over(Window.partitionBy(site_of).orderBy("depth", "url"))
-    return known.withColumn("nth", nth).where(F.col("nth") <= most)
+        listed = level.join(documents, [site_of, "url"]).select(site_of, "seq", F.posexplode("children").alias("position", "url")).where(urls.same_site(F.col("url"), F.col(site_of)))
+        first = listed.groupBy(site_of, "url").agg(F.min(F.struct("seq", "position")).alias("at")).join(known, [site_of, "url"], "left_anti")
+        level = first.withColumn("seq", F.row_number().over(Window.partitionBy(site_of).orderBy("at")).cast("long")).select(site_of, "url", "seq")
+        level = level.checkpoint() if durable else level
+        known = known.unionByName(level.withColumn("depth", F.lit(depth)))
+    nth = F.row_number().over(Window.partitionBy(site_of).orderBy("depth", "seq"))
+    return known.withColumn("nth", nth).where(F.col("nth") <= most).select(site_of, "url", "depth", "nth")

@@ -43,13 +43,17 @@ class Rule:
     settled: Column | None = None
     chain: str | None = None
 
-    def outcome(self) -> Column:
-        """struct<rule_id, state, points, reason, flag, persistent>."""
-        none = F.lit(None).cast("string")
+    def state(self) -> Column:
+        """fired, abstained or declined, by itself."""
         fired = F.when(self.fires, F.lit("fired"))
-        abstained = F.when(self.abstains, F.lit("abstained")) if self.abstains is not None else none
+        abstained = F.when(self.abstains, F.lit("abstained")) if self.abstains is not None else F.lit(None).cast("string")
         order = (abstained, fired) if self.abstain_first else (fired, abstained)
-        state = F.coalesce(*order, F.lit("declined"))
+        return F.coalesce(*order, F.lit("declined"))
+
+    def outcome(self, state: Column) -> Column:
+        """struct<rule_id, state, points, reason, flag, persistent> for a state that stands in a column."""
+        none = F.lit(None).cast("string")
+
         def given(c):
             return F.when(state == "abstained", c) if c is not None else none
 

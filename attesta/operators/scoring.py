@@ -17,40 +17,40 @@ def band(total: Column) -> Column:
     return out
 
 
-def outcomes(ruleset: list[R.Rule]) -> Column:
-    """All outcomes in declaration order; in a ladder, what follows the first that does not decline declines."""
-    found, passed = [], {}
-    for r in ruleset:
-        one = r.outcome()
+def settled_states(ruleset: list[R.Rule], states: list[Column]) -> list[Column]:
+    """The rules' own ``states`` with ladders applied: what follows the first of a ladder that does not decline declines."""
+    found: list[Column] = []
+    met: dict[str, Column] = {}
+    for r, state in zip(ruleset, states, strict=True):
+        found.append(F.when(met[r.chain], F.lit("declined")).otherwise(state) if r.chain in met else state)
         if r.chain:
-            earlier = passed.get(r.chain, F.lit(False))
-            declined = F.struct(one["rule_id"].alias("rule_id"), F.lit("declined").alias("state"), F.lit(0).alias("points"), *[F.lit(None).cast("string").alias(n) for n in ("reason", "flag", "persistent")])
-            passed[r.chain] = earlier | (one["state"] != "declined")
-            one = F.when(earlier, declined).otherwise(one)
-        found.append(one)
-    return F.array(*found)
+            met[r.chain] = met.get(r.chain, F.lit(False)) | (state != "declined")
+    return found
 
 
 def evaluate(profiles: DataFrame, today: str, ruleset: list[R.Rule] | None = None) -> DataFrame:
     """``profiles`` with components (fired and abstained outcomes), total, band, upside, admitted, evaluated_on.
 
-    ``today`` is stored with the score and required. A pure projection: no exchange, no UDF.
+    ``today`` is stored with the score and required. Projections only, no exchange and no UDF: states become
+    columns first and everything else reads those.
     """
     if not today:
         raise ValueError("a score needs the date it is evaluated on")
     day = F.lit(today).cast("date")
     ruleset = R.registry(day) if ruleset is None else ruleset
     R.validate(ruleset)
-    kept = F.filter(F.col("outcomes"), lambda o: o["state"] != "declined")
-    scored = profiles.withColumn("outcomes", outcomes(ruleset)).withColumn("components", kept)
-    scored = scored.withColumn("total", F.aggregate("components", F.lit(0), lambda a, c: a + c["points"]))
-    banked = F.transform(F.filter("components", lambda c: c["points"] > 0), lambda c: c["rule_id"])
-    upside = F.lit(0)
-    for r in ruleset:
-        if r.reachable and r.points > 0:
-            upside = upside + F.when(~F.array_contains(F.col("banked"), r.id) & ~F.coalesce(r.settled, F.lit(False)), F.lit(r.points)).otherwise(F.lit(0))
-    scored = scored.withColumn("banked", banked).withColumn("upside", upside)
-    return scored.withColumn("band", band(F.col("total"))).withColumn("admitted", F.col("total") + F.col("upside") >= R.ADMITTED_FROM).withColumn("evaluated_on", day).drop("outcomes", "banked")
+    mark = "state"
+    while any(c.lower().startswith(mark) for c in profiles.columns):
+        mark += "_"
+    own, final = ([f"{mark}{kind}{i}" for i in range(len(ruleset))] for kind in ("own", "final"))
+    scored = profiles.select("*", *[r.state().alias(n) for r, n in zip(ruleset, own, strict=True)])
+    scored = scored.select("*", *[s.alias(n) for s, n in zip(settled_states(ruleset, [F.col(n) for n in own]), final, strict=True)])
+    fired = [F.col(n) == "fired" for n in final]
+    total = sum((F.when(f, F.lit(r.points)).otherwise(0) for f, r in zip(fired, ruleset, strict=True)), F.lit(0))
+    upside = sum((F.when(~f & ~F.coalesce(r.settled, F.lit(False)), F.lit(r.points)).otherwise(0) for f, r in zip(fired, ruleset, strict=True) if r.reachable and r.points > 0), F.lit(0))
+    kept = F.array_compact(F.array(*[F.when(F.col(n) != "declined", r.outcome(F.col(n))) for r, n in zip(ruleset, final, strict=True)]))
+    scored = scored.select("*", kept.alias("components"), total.alias("total"), upside.alias("upside")).drop(*own, *final)
+    return scored.withColumn("band", band(F.col("total"))).withColumn("admitted", F.col("total") + F.col("upside") >= R.ADMITTED_FROM).withColumn("evaluated_on", day)
 
 
 def component_rows(scored: DataFrame) -> DataFrame:

@@ -13,34 +13,37 @@ MARKETPLACES = (
     "galaxus", "digitec", "conrad", "mediamarkt", "saturn", "idealo", "geizhals", "billiger", "guenstiger", "preisvergleich", "check24", "verivox", "testberichte", "trustedshops", "trustpilot", "google",
     "facebook", "instagram", "pinterest", "youtube", "tiktok", "wikipedia", "shopify", "shopware", "woocommerce", "etracker", "gelbeseiten", "wlw", "europages",
 )
-#: Words of the block that a passage and a document must share before they are compared.
-BLOCK_WORDS = 4
+#: Words of the block that a passage and a document must share before they are compared, and characters of shorter ones.
+BLOCK_WORDS, BLOCK_CHARS = 4, 8
 
 
 def contained(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every passage that stands in a document, both normalised.
 
-    Blocked on word n-grams: a passage of ``BLOCK_WORDS`` inner words or more can only stand where its
-    n-gram of inner words does, so documents meet passages by an equi-join, and the comparison runs on
-    those pairs alone. A passage's first and last words may be parts of longer words in a text, so they
-    are left out of its n-gram. Shorter passages are compared with every document, as a broadcast of
-    the passage list (the stated, small side).
+    Blocked, so that documents meet passages by equi-joins only, and the comparison runs on those pairs
+    alone. A passage of ``BLOCK_WORDS`` inner words or more can only stand where the hash of its first inner
+    words does (its first and last words may be parts of longer words in a text). A shorter one can only
+    stand where its first characters do, ``BLOCK_CHARS`` of them or all.
     """
-    d = documents.select("doc_id", text.normalised(F.col("text")).alias("d"))
     p = passages.select("item_id", text.normalised(F.col("text")).alias("p")).where("p <> ''").withColumn("words", F.split("p", " "))
     n = BLOCK_WORDS
-    long = p.where(F.size("words") >= n + 2).select("item_id", "p", F.array_join(F.slice("words", 2, n), " ").alias("gram"))
-    short = p.where(F.size("words") < n + 2).select("item_id", "p")
+    long = p.where(F.size("words") >= n + 2).select("item_id", "p", F.xxhash64(*[F.get("words", F.lit(i + 1)) for i in range(n)]).alias("key"))
+    short = p.where(F.size("words") < n + 2).select("item_id", "p", F.least(F.length("p"), F.lit(BLOCK_CHARS)).alias("size"))
+    sizes = [r["size"] for r in short.select("size").distinct().collect()]  # BLOCK_CHARS of them at most
+
+    def met(keys, wanted: DataFrame) -> DataFrame:
+        found = documents.select("doc_id", text.normalised(F.col("text")).alias("d")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+        return found.join(wanted, "key").select("doc_id", "item_id", "p")
+
     words = F.split("d", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
-    known = long.select("gram").distinct()
-    hits = (
-        d.withColumn("words", words).where(F.size("words") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(known, "gram", "left_semi").join(long, "gram").select("doc_id", "item_id", "p").distinct()
-    )
-    blocked = d.join(hits, "doc_id").where(F.contains("d", "p")).select("doc_id", "item_id")
-    plain = d.join(short, F.contains("d", "p")).select("doc_id", "item_id")
-    return blocked.unionByName(plain).distinct()
+    grams = text.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)])))
+    hits = met(grams, long)
+    if sizes:
+        starts = F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("d") - size + 1, F.lit(1))), lambda i, size=size: F.substring("d", i, F.lit(size))) for size in sizes])
+        hits = hits.unionByName(met(starts, short.withColumn("key", F.expr("substring(p, 1, size)"))))
+    pairs = hits.distinct()
+    # Only documents that met a passage are normalised again.
+    return documents.select("doc_id", "text").join(pairs, "doc_id").where(F.contains(text.normalised(F.col("text")), F.col("p"))).select("doc_id", "item_id").distinct()
 
 
 def presence(rows: DataFrame, whole: Column, block: Column, patterns: dict[str, str]) -> DataFrame:

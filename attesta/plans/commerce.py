@@ -11,11 +11,11 @@ from attesta.sources import adapters as A
 NOW = "1998-06-30"
 
 
-@query("faceted_list", f"with {A.COMPANY} select id, domain, city from company where not excluded and discovery_source = 'BUILDING' and city in ('GERMANY', 'FRANCE') union all select id, domain, city from company where excluded and city = 'JAPAN'")
+@query("faceted_list", f"with {A.COMPANY} select id, domain, city from company where not excluded and discovery_source = 'BUILDING' and city in ('NATION_7', 'NATION_10') union all select id, domain, city from company where excluded and city = 'NATION_2'")
 def faceted_list(spark, d):
     c = A.companies(spark, d)
-    kept = listing.faceted(c, excluded="no", discovery_source="BUILDING", city="").where(F.col("city").isin("GERMANY", "FRANCE"))
-    return kept.select("id", "domain", "city").unionByName(listing.faceted(c, excluded="yes", city="JAPAN").select("id", "domain", "city"))
+    kept = listing.faceted(c, excluded="no", discovery_source="BUILDING", city="").where(F.col("city").isin("NATION_7", "NATION_10"))
+    return kept.select("id", "domain", "city").unionByName(listing.faceted(c, excluded="yes", city="NATION_2").select("id", "domain", "city"))
 
 
 @query("facets", f"with {A.COMPANY} select 'city' as facet, city as value, count(*)::bigint as n from company group by city union all select 'discovery_source', discovery_source, count(*)::bigint from company group by discovery_source union all select 'legal_form', legal_form, count(*)::bigint from company where legal_form is not null group by legal_form")

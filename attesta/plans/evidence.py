@@ -209,7 +209,7 @@ def derived_blocked(spark, d):
 @query(
     "guard_violations",
     f"with {A.ENTITY}, {_FLAGS}, open as (select company_id, reason from raised where reason = 'error' group by company_id, reason having not bool_or(resolves)),"
-    " o as (select event_id as id, user_id as company_id, case event_type when 'view' then 'post' when 'click' then 'mail' else 'phone' end as channel from events where event_id % 10 = 1)"
+    " o as (select event_id as id, user_id as company_id, case event_type when 'view' then 'post' when 'click' then 'mail' else 'phone' end as channel from events)"
     " select o.id, case when e.excluded then 'excluded' when exists (select 1 from open b where b.company_id = o.company_id) then 'blocked' when o.channel not in ('post', 'phone') then 'channel' end as violation"
     " from o join entity e on e.id = o.company_id where e.excluded or exists (select 1 from open b where b.company_id = o.company_id) or o.channel not in ('post', 'phone')",
 )
@@ -218,5 +218,5 @@ def guard_violations(spark, d):
     e = events.select(F.col("user_id").alias("company_id"), F.col("event_type").alias("reason"), F.col("event_id").alias("at"), (F.col("event_id") % 5 == 0).alias("resolves"))
     companies = review.derived(A.entities(spark, d), review.flag_state(e), spark.createDataFrame([("error",)], "reason string"))
     channel = F.when(F.col("event_type") == "view", "post").when(F.col("event_type") == "click", "mail").otherwise("phone")
-    outreach = events.where("event_id % 10 = 1").select(F.col("event_id").alias("id"), F.col("user_id").alias("company_id"), channel.alias("channel"))
+    outreach = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("company_id"), channel.alias("channel"))
     return review.outreach_violations(outreach, companies).select("id", "violation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import dates, text, urls
-from attesta.operators import addresses, verification
+from attesta.operators import addresses, documents, verification
 from attesta.plans.registry import query, table
 from attesta.sources import adapters as A
 
@@ -18,11 +18,23 @@ def passage_verification(spark, d):
 
 
 _PATTERNS = {"mail": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "phone": "\\+[0-9][0-9 ().-]{6,}[0-9]", "licence": "(?i)license|licence|rights reserved", "postal": "[0-9]{5} [A-Z][a-z]+"}
+# A provider's heading and address stand in some texts, so that there are blocks to look into.
+_TITLED = "case when doc_id % 3 = 0 then text || ' Impressum Muster 53111 Bonn, +49 228 1234567, post@example.com ' || text when doc_id % 3 = 1 then 'IMPRESSUM ohne Anschrift ' || text else text end"
+_HEADING = documents.PROVIDER.replace("(?iu)", "(?i)")
 
 
-@query("pattern_presence", " union all ".join(f"select '{n}' as pattern, count(*) filter (regexp_matches(text, '{p}'))::bigint as whole, count(*) filter (regexp_matches(text[1:400], '{p}'))::bigint as block from documents" for n, p in _PATTERNS.items()))
+@query(
+    "pattern_presence",
+    f"with t as (select {_TITLED} as text from documents), h as (select text, string_split_regex(text, '{_HEADING}') as gaps, regexp_extract_all(text, '{_HEADING}') as heads from t),"
+    " w as (select text, list_transform(range(1, len(heads) + 1), lambda i: substr(text, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(heads[1:i], lambda x: length(x))) + 1)::bigint, 400)) as windows from h),"
+    f" b as (select text, list_filter(windows, lambda x: regexp_matches(x, '{documents.ADDRESS.replace('(?U)', '')}'))[1] as block from w) "
+    + " union all ".join(f"select '{n}' as pattern, count(*) filter (regexp_matches(text, '{p}'))::bigint as whole, count(*) filter (regexp_matches(block, '{p}'))::bigint as block from b" for n, p in _PATTERNS.items()),
+)
 def pattern_presence(spark, d):
-    return verification.presence(table(spark, d, "documents"), F.col("text"), F.substring("text", 1, 400), _PATTERNS)
+    n, whole = F.col("doc_id") % 3, F.col("text")
+    titled = F.when(n == 0, F.concat(whole, F.lit(" Impressum Muster 53111 Bonn, +49 228 1234567, post@example.com "), whole)).when(n == 1, F.concat(F.lit("IMPRESSUM ohne Anschrift "), whole)).otherwise(whole)
+    rows = table(spark, d, "documents").select(titled.alias("text")).withColumn("block", documents.provider_block(F.col("text")))
+    return verification.presence(rows, F.col("text"), F.col("block"), _PATTERNS)
 
 
 _WORDS = "' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
@@ -104,19 +116,29 @@ def month_arithmetic(spark, d):
     return table(spark, d, "orders").select("o_orderkey", dates.months_since(day, F.lit("2001-08-01").cast("date")).cast("int").alias("months"), dates.display(day).alias("shown"), F.date_add(day, 29).alias("deadline"))
 
 
-@query("german_dates")
-def german_dates(spark, d):
-    """Dates written into texts in three forms, read back."""
-    day = F.to_date("o_orderdate")
-    month = F.element_at(F.array(*map(F.lit, dates.MONTHS)), F.month(day))
-    written = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("am "), F.day(day).cast("string"), F.lit(". "), month, F.lit(" "), F.year(day).cast("string"))).when(F.col("o_orderkey") % 3 == 1, F.date_format(day, "d.M.yyyy")).otherwise(F.concat(day.cast("string"), F.lit("T10:00:00Z")))
-    rows = table(spark, d, "orders").select("o_orderkey", day.alias("day"), written.alias("text"))
-    return rows.select("o_orderkey", (dates.german_date(F.col("text")) == F.col("day")).alias("same"))
-
+# Dates as texts state them, some of which no calendar has.
+_MONTH = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "][month(d)]"
+_WRITTEN = f"case n when 0 then 'am ' || day(d) || '. ' || {_MONTH} || ' ' || year(d) when 1 then day(d) || '.' || month(d) || '.' || year(d) when 2 then strftime(d, '%Y-%m-%d') || 'T10:00:00Z' when 3 then 'am 31. Februar ' || year(d) else 'Nr. ' || day(d) || '.' || month(d) end"
 
-from attesta.plans.registry import ORACLES  # noqa: E402
 
-ORACLES["german_dates"] = "select o_orderkey, true as same from orders"
+@query(
+    "german_dates",
+    f"with o as (select o_orderkey, cast(o_orderdate as date) as d, o_orderkey % 5 as n from orders), t as (select o_orderkey, {_WRITTEN} as t from o),"
+    " w as (select o_orderkey, t, regexp_extract(t, '([0-9]{1,2})\\.\\s*([A-Za-zä]+)\\.?\\s+([0-9]{4})', ['d', 'm', 'y']) as p from t)"
+    f" select o_orderkey, case when list_position([{', '.join(repr(m) for m in dates.MONTHS)}], p.m) > 0 then try_cast(p.y || '-' || list_position([{', '.join(repr(m) for m in dates.MONTHS)}], p.m) || '-' || p.d as date)"
+    " when regexp_matches(t, '[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}') then try_cast(regexp_replace(t, '([0-9]{1,2})\\.([0-9]{1,2})\\.([0-9]{4})', '\\3-\\2-\\1') as date)"
+    " else try_cast(nullif(regexp_extract(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '') as date) end as read from w",
+)
+def german_dates(spark, d):
+    """Dates written into texts in five ways, two of them none, read back."""
+    day, n = F.to_date("o_orderdate"), F.col("o_orderkey") % 5
+    month, year = F.element_at(F.array(*map(F.lit, dates.MONTHS)), F.month(day)), F.year(day).cast("string")
+    number = F.day(day).cast("string")
+    written = (
+        F.when(n == 0, F.concat(F.lit("am "), number, F.lit(". "), month, F.lit(" "), year)).when(n == 1, F.date_format(day, "d.M.yyyy")).when(n == 2, F.concat(day.cast("string"), F.lit("T10:00:00Z")))
+        .when(n == 3, F.concat(F.lit("am 31. Februar "), year)).otherwise(F.concat(F.lit("Nr. "), number, F.lit("."), F.month(day).cast("string")))
+    )
+    return table(spark, d, "orders").select("o_orderkey", dates.german_date(written).alias("read"))
 
 
 @query("text_caps", "select doc_id, octet_length(encode(text)) <= 2000 as whole from documents")

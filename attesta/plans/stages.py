@@ -28,7 +28,7 @@ def blog_absence(spark, d):
 
 @query(
     "sample_reuse",
-    "with h as (select page_id % 30 as company_id, url, case when page_id % 4 = 0 then 404 else 200 end as st, page_id as at1 from pages where page_id % 3 = 0),"
+    "with h as (select page_id % 30 as company_id, url, case when page_id % 4 = 0 then 404 else 200 end as st, page_id as at1 from pages),"
     " l as (select company_id, arg_max(url, at1) as url, arg_max(st, at1) as st from h group by company_id), good as (select company_id, url from l where st = 200),"
     " c as (select page_id % 30 as company_id, case when page_id % 2 = 0 then 1 else 3 end as rank, url from pages where url not in (select url from pages where page_id % 10 = 1)),"
     " b as (select company_id, min(rank) as rank from c group by company_id)"
@@ -37,29 +37,30 @@ def blog_absence(spark, d):
 def sample_reuse(spark, d):
     p = table(spark, d, "pages")
     company = (F.col("page_id") % 30).alias("company_id")
-    history = p.where("page_id % 3 = 0").select(company, "url", F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("http_status"), F.col("page_id").alias("at"))
+    history = p.select(company, "url", F.when(F.col("page_id") % 4 == 0, 404).otherwise(200).alias("http_status"), F.col("page_id").alias("at"))
     candidates = p.select(company, F.when(F.col("page_id") % 2 == 0, "sitemap").otherwise("links").alias("tier"), "url")
     return extraction.product_sample(history, candidates, p.where("page_id % 10 = 1").select("url"))
 
 
-@query("citation_lookup", "with l as (select url, arg_min(page_id % 20, page_id) as doc from pages group by url) select p.url, cast(l.doc as varchar) as document, case when l.doc < 15 then l.doc end as artifact_id from (select distinct url from pages where page_id % 2 = 0) p join l on l.url = p.url")
+@query("citation_lookup", "with l as (select url, arg_min(page_id % 20, page_id) as doc from pages group by url) select p.url, cast(l.doc as varchar) as document, case when l.doc < 15 then l.doc end as artifact_id from (select distinct url from pages) p join l on l.url = p.url")
 def citation_lookup(spark, d):
     p = table(spark, d, "pages")
     doc = F.col("page_id") % 20
     artifacts = spark.range(15).select(F.col("id").cast("string").alias("url"), "id")
-    return extraction.citations(p.where("page_id % 2 = 0").select("url").distinct(), p.select("url", doc.cast("string").alias("document"), F.col("page_id").alias("seq")), artifacts)
+    return extraction.citations(p.select("url").distinct(), p.select("url", doc.cast("string").alias("document"), F.col("page_id").alias("seq")), artifacts)
 
 
 @query(
     "extraction_inputs",
-    "with a as (select doc_id % 60 as company_id, doc_id as artifact_id, text from documents where doc_id % 7 <> 0 and text <> ''), n as (select company_id, max(artifact_id) as artifact_id, arg_max(text, artifact_id) as text from a group by company_id),"
-    " g as (select range as company_id, case when range % 5 = 0 then 'stopped' when range % 5 = 1 then null else 'admitted' end as verdict from range(70))"
+    # A company for every customer; every seventh document answered 404.
+    "with a as (select doc_id % 60 as company_id, doc_id as artifact_id, text from (select *, case when doc_id % 7 = 0 then 404 else 200 end as http_status from documents) d where http_status = 200 and text <> ''), n as (select company_id, max(artifact_id) as artifact_id, arg_max(text, artifact_id) as text from a group by company_id),"
+    " g as (select c_custkey as company_id, case when c_custkey % 5 = 0 then 'stopped' when c_custkey % 5 = 1 then null else 'admitted' end as verdict from customer)"
     " select g.company_id, n.artifact_id, case when coalesce(verdict, 'unscored') <> 'admitted' then coalesce(verdict, 'unscored') when n.artifact_id is null then 'no_page' end as skipped from g left join n on n.company_id = g.company_id",
 )
 def extraction_inputs(spark, d):
     t = table(spark, d, "documents").select((F.col("doc_id") % 60).alias("company_id"), F.col("doc_id").alias("artifact_id"), F.lit("impressum").alias("kind"), F.when(F.col("doc_id") % 7 == 0, 404).otherwise(200).alias("http_status"), "text", F.col("doc_id").alias("at"))
     n = F.col("company_id")
-    some = spark.range(70).select(F.col("id").alias("company_id"))
+    some = table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"))
     gate = some.select("company_id", F.when(n % 5 == 0, "stopped").when(n % 5 != 1, "admitted").alias("verdict"))
     return planning.prepared(some, gate, t, "impressum").select("company_id", "artifact_id", "skipped")
 

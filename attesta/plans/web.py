@@ -28,11 +28,11 @@ def url_parts(spark, d):
     return p.select("page_id", "authority", "host", "path", urls.has_query(F.col("url")).alias("has_query"), urls.segment_depth(F.col("path")).alias("segments"), urls.slash_depth(F.col("path")).alias("depth"))
 
 
-@query("same_site", f"with {_PAGE}, s as (select distinct site from page where page_id % 25 = 0) select p.page_id, s.site, p.host = s.site or ends_with(p.host, '.' || s.site) as same from page p join s on p.site = s.site")
+@query("same_site", f"with {_PAGE}, s as (select distinct site from page) select p.page_id, s.site, p.host = s.site or ends_with(p.host, '.' || s.site) as same from page p join s on p.site = s.site")
 def same_site(spark, d):
     p = _pages(spark, d)
-    some = p.where("page_id % 25 = 0").select("site").distinct()
-    return p.join(some, "site").select("page_id", "site", urls.same_site(F.col("url"), F.col("site")).alias("same"))
+    sites = p.select("site").distinct()
+    return p.join(sites, "site").select("page_id", "site", urls.same_site(F.col("url"), F.col("site")).alias("same"))
 
 
 @query("tld_country", f"with {_PAGE} select page_id, case regexp_extract(host, '([^.]+)$', 1) when 'de' then 'DE' when 'at' then 'AT' when 'ch' then 'CH' when 'lu' then 'LU' when 'li' then null else case when page_id % 2 = 0 then 'AT' end end as country from page")
