@@ -61,9 +61,10 @@ def within_budget(candidates: DataFrame, n: int) -> DataFrame:
 
 
 def releasable(batches: DataFrame, provider: DataFrame) -> DataFrame:
-    """Reserved batches that were never submitted and that no provider batch created since could be."""
+    """Reserved batches that were never submitted and that no provider batch created since could be: only the newest of those decides."""
     mine = batches.where("status = 'reserved' and submitted_at is null and reserved_at is not null")
-    return mine.join(provider, provider["created_at"] >= mine["reserved_at"], "left_anti")
+    newest = provider.agg(F.max("created_at")).first()[0]
+    return mine if newest is None else mine.where(F.col("reserved_at") > F.lit(newest))
 
 
 def reproducible(requests: DataFrame, texts: DataFrame) -> DataFrame:

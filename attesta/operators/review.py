@@ -19,10 +19,10 @@ def flag_state(events: DataFrame) -> DataFrame:
 
 
 def derived(companies: DataFrame, flags: DataFrame, blocking: DataFrame) -> DataFrame:
-    """``companies`` with needs_review (an open flag) and contact_blocked (an open flag of a blocking reason)."""
+    """``companies`` with needs_review (an open flag), contact_blocked (an open flag of a blocking reason) and open_flags."""
     known = blocking.select("reason", F.lit(True).alias("blocks"))
-    open_ = flags.where("resolved_at is null").join(known, "reason", "left").groupBy(F.col("company_id").alias("id")).agg(F.lit(True).alias("needs_review"), F.coalesce(F.bool_or("blocks"), F.lit(False)).alias("contact_blocked"))
-    return companies.join(open_, "id", "left").fillna(False, ["needs_review", "contact_blocked"])
+    open_ = flags.where("resolved_at is null").join(known, "reason", "left").groupBy(F.col("company_id").alias("id")).agg(F.lit(True).alias("needs_review"), F.coalesce(F.bool_or("blocks"), F.lit(False)).alias("contact_blocked"), F.count("*").alias("open_flags"))
+    return companies.join(open_, "id", "left").fillna(False, ["needs_review", "contact_blocked"]).fillna(0, ["open_flags"])
 
 
 def outreach_violations(outreach: DataFrame, companies: DataFrame) -> DataFrame:
@@ -63,7 +63,13 @@ def forget(spark: SparkSession, company_id: int, tables: list[str] | None = None
 
 
 def residue(tables: dict[str, DataFrame], company_id: int) -> DataFrame:
-    """(table, rows) that still hold the company: all zero is the proof of erasure."""
+    """(table, rows) that still hold the company: all zero is the proof of erasure.
+
+    Components of scores name no company; they are counted through the score that they belong to.
+    """
+    if "score_component" in tables and "score" in tables:
+        owner = tables["score"].select(F.col("id").alias("score_id"), "company_id")
+        tables = tables | {"score_component": tables["score_component"].select("score_id").join(owner, "score_id")}
     counts = [df.select(F.lit(name).alias("table"), (F.col("company_id" if "company_id" in df.columns else "id") == company_id).cast("int").alias("hit")) for name, df in tables.items()]
     out = counts[0]
     for c in counts[1:]:

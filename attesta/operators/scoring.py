@@ -90,14 +90,14 @@ def hook(components: Column) -> Column:
 
 
 def findings(components: Column) -> Column:
-    """struct of opportunities, strengths (then negatives) and unmeasurable reasons."""
+    """struct of opportunities, strengths (then negatives) and, each behind its rule's id, unmeasurable reasons."""
     def reasons(keep) -> Column:
         return F.transform(F.filter(components, keep), lambda c: c["reason"])
 
     return F.struct(
         reasons(lambda c: c["rule_id"].startswith("opp.") & (c["points"] > 0)).alias("opportunities"),
         F.concat(reasons(lambda c: c["rule_id"].startswith("qual.") & (c["points"] > 0)), reasons(lambda c: c["points"] < 0)).alias("strengths"),
-        reasons(lambda c: c["points"] == 0).alias("unmeasurable"),
+        F.transform(F.filter(components, lambda c: c["points"] == 0), lambda c: F.concat_ws(": ", c["rule_id"], c["reason"])).alias("unmeasurable"),
     )
 
 
@@ -106,12 +106,34 @@ def visibility(mentions: Column, checked: Column) -> Column:
     return F.when(checked.isNull() | mentions.isNull(), F.lit("—")).otherwise(F.concat_ws("/", mentions.cast("long").cast("string"), checked.cast("long").cast("string")))
 
 
+#: What a statement about AI visibility must be able to name.
+BASIS = ("ai_query_text", "ai_checked_at", "ai_model_used")
+
+
 def brief(scored: DataFrame) -> DataFrame:
-    """A Markdown page for each company that has a score and is not blocked."""
+    """(id, brief, refused): a Markdown page for each company, or why there is none.
+
+    Refused are companies without a score, those with an open blocking flag, and those whose AI visibility
+    was checked but cannot name its queries, date and model: a comparison without its basis is not exported.
+    """
+    missing = [c for c in (*BASIS, "ai_queries_checked", "ai_brand_mentions", "ai_competitors_mentioned", "contact_blocked") if c not in scored.columns]
+    rows = scored.select("*", *[F.lit(None).cast("boolean" if c == "contact_blocked" else "double" if c.endswith(("checked", "mentions")) else "string").alias(c) for c in missing])
+    unfounded = F.col("ai_queries_checked").isNotNull() & ~F.forall(F.array(*[F.col(c).cast("string") for c in BASIS]), lambda c: F.coalesce(c, F.lit("")) != "")
+    refused = F.when(F.col("total").isNull(), "not_scored").when(F.coalesce("contact_blocked", F.lit(False)), "contact_blocked").when(unfounded, "missing_basis")
     found = findings(F.col("components"))
 
-    def section(title: str, items: Column) -> Column:
+    def listed(title: str, items: Column) -> Column:
         return F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")))
 
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "domain"), F.format_string("%d points, band %s", "total", "band"), section("Opportunities", found["opportunities"]), section("Strengths", found["strengths"]), section("Not measurable", found["unmeasurable"]))
-    return scored.where("total is not null and not coalesce(contact_blocked, false)").select("id", text.alias("brief"))
+    asked = F.array_join(F.transform(F.split("ai_query_text", r"\s*\|\s*"), lambda q: F.concat(F.lit('"'), q, F.lit('"'))), ", ")
+    unnamed = (F.col("ai_queries_checked") - F.coalesce("ai_brand_mentions", F.lit(0.0))).cast("long")
+    others = F.when((unnamed > 0) & (F.coalesce("ai_competitors_mentioned", F.lit("")) != ""), F.concat(F.lit(" Named instead: "), "ai_competitors_mentioned", F.lit(".")))
+    visible = F.when(
+        F.col("ai_queries_checked").isNotNull(),
+        F.concat(
+            F.lit("## AI visibility\nChecked on "), "ai_checked_at", F.lit(" with "), "ai_model_used", F.lit(": "), asked, F.lit(". The brand was not named in "), unnamed.cast("string"), F.lit(" of "),
+            F.col("ai_queries_checked").cast("long").cast("string"), F.lit(" answers."), F.coalesce(others, F.lit("")), F.lit(" One model, one day: no statement about such systems in general."),
+        ),
+    )
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "domain"), F.format_string("%d points, band %s", "total", "band"), listed("Opportunities", found["opportunities"]), listed("Strengths", found["strengths"]), listed("Not measurable", found["unmeasurable"]), visible)
+    return rows.select("id", F.when(refused.isNull(), text).alias("brief"), refused.alias("refused"))

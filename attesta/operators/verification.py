@@ -38,8 +38,12 @@ def contained(documents: DataFrame, passages: DataFrame) -> DataFrame:
     words = F.split("d", " ")
     grams = text.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)])))
     hits = met(grams, long)
+
+    def pieces(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("d") - size + 1, F.lit(1))), lambda i: F.substring("d", i, F.lit(size)))
+
     if sizes:
-        starts = F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("d") - size + 1, F.lit(1))), lambda i, size=size: F.substring("d", i, F.lit(size))) for size in sizes])
+        starts = F.concat(*[pieces(size) for size in sizes])
         hits = hits.unionByName(met(starts, short.withColumn("key", F.expr("substring(p, 1, size)"))))
     pairs = hits.distinct()
     # Only documents that met a passage are normalised again.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import dates, text, urls
-from attesta.operators import addresses, documents, verification
+from attesta.operators import addresses, documents, listing, verification
 from attesta.plans.registry import query, table
 from attesta.sources import adapters as A
 
@@ -113,7 +113,7 @@ def marketplace_filter(spark, d):
 @query("month_arithmetic", "select o_orderkey, cast(greatest(0, (2001 - year(o_orderdate)) * 12 + 8 - month(o_orderdate)) as integer) as months, strftime(o_orderdate, '%d.%m.%Y') as shown, (cast(o_orderdate as date) + 29) as deadline from orders")
 def month_arithmetic(spark, d):
     day = F.to_date("o_orderdate")
-    return table(spark, d, "orders").select("o_orderkey", dates.months_since(day, F.lit("2001-08-01").cast("date")).cast("int").alias("months"), dates.display(day).alias("shown"), F.date_add(day, 29).alias("deadline"))
+    return table(spark, d, "orders").select("o_orderkey", dates.months_since(day, F.lit("2001-08-01").cast("date")).cast("int").alias("months"), dates.display(day).alias("shown"), listing.deadline(F.col("o_orderdate")).alias("deadline"))
 
 
 # Dates as texts state them, some of which no calendar has.

@@ -22,4 +22,4 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from attesta.plans import commerce, evidence, extras, requests, stages, web  # noqa: E402, F401  each registers its queries
+from attesta.plans import commerce, evidence, extras, proofs, requests, stages, web  # noqa: E402, F401  each registers its queries

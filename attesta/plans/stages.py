@@ -84,9 +84,3 @@ def visibility_plan(spark, d):
     scores = table(spark, d, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("phase"), F.col("o_totalprice").alias("total"))
     facts = c.select("id", F.when(F.col("id") % 7 != 0, "x").alias("category"), (F.col("id") % 3 == 0).alias("measured_recently"))
     return planning.visibility_plan(c, scores, facts, 100)
-
-
-@query("homepage_facts")
-def homepage_facts(spark, d):
-    p = table(spark, d, "pages").select(F.col("page_id").alias("company_id"), "html", F.lit("example.com").alias("domain"))
-    return extraction.homepage_facts(p)

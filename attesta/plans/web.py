@@ -130,33 +130,76 @@ def _marked(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat("html", F.element_at(F.array(*map(F.lit, marks)), (F.col("page_id") % 7 + 1).cast("int"))).alias("html"))
 
 
-@query("html_visible_text")
+_GAPS = "regexp_replace(regexp_replace(html, '(?s)<style.*?</style>|<script.*?</script>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_TEXT = f"trim(regexp_replace(replace(replace(replace(regexp_replace({_GAPS}, '&amp;?', '&', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g'))"
+
+
+@query("html_visible_text", f"select page_id, length({_TEXT})::bigint as chars, sha256({_TEXT}) as text_sha256 from pages")
 def html_visible_text(spark, d):
     p = table(spark, d, "pages").select("page_id", documents.parsed(F.col("html")).alias("page"))
     return p.select("page_id", F.length("page.text").cast("bigint").alias("chars"), F.sha2(F.col("page.text").cast("binary"), 256).alias("text_sha256"))
 
 
-@query("html_links")
+@query(
+    "html_links",
+    "with l as (select page_id, url, html, regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1) as h, regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) as t from pages),"
+    " r as (select page_id, url, unnest(range(0, len(h)))::integer as position, unnest(h) as href, unnest(t) as text from l)"
+    " select page_id, position, regexp_extract(url, '^[a-z]+://[^/?#]+') || href as target, trim(regexp_replace(text, '&amp;?', '&', 'g')) as text, false as in_footer from r",
+)
 def html_links(spark, d):
     p = table(spark, d, "pages").select("page_id", "url", documents.parsed(F.col("html")).alias("page"))
     links = p.select("page_id", "url", F.posexplode("page.links").alias("position", "link"))
     return links.select("page_id", "position", urls.absolute(F.col("url"), F.col("link.href")).alias("target"), "link.text", "link.in_footer").where("target is not null")
 
 
-@query("html_footer_credit")
+def _stating(spark, d):
+    """The pages with something to read behind their own content, by page_id, so that the expected facts are known."""
+    n = F.col("page_id")
+    number = n.cast("string")
+    more = [
+        F.lit('<meta name="description" content="Beschreibung">'), F.lit('<link rel="alternate" hreflang="de-DE" href="/"><link rel="alternate" hreflang="de-at" href="/at"><link rel="alternate" hreflang="fr" href="/fr">'),
+        F.concat(F.lit('<script type="application/ld+json">{"@type": "Product", "aggregateRating": {"reviewCount": "'), (n + 1).cast("string"), F.lit('"}}</script>')),
+        F.lit('<script type="application/ld+json">{"@graph": [{"@type": "BlogPosting", "datePublished": "2026-01-02"}]}</script><time datetime="2025-12-31T08:00Z">x</time><time datetime="2099-01-01">y</time>'),
+        F.lit("<p>IMPRESSUM Muster GmbH &amp; Co. KG, Weg 1, 53111 Bonn</p>"), F.concat(F.lit("<footer>Umgesetzt von Studio "), number, F.lit('</footer><footer><a href="https://x.de">Webdesign X</a></footer>')),
+        F.lit('<footer><a href="/design">Design</a> <a href="https://x.de" title="Agentur">Kontor</a></footer><footer>Entwickelt von Y</footer>'),
+    ]
+    p = _pages(spark, d)
+    return p.withColumn("html", F.concat("html", F.element_at(F.array(*more), (n % len(more) + 1).cast("int"))))
+
+
+_CREDIT = "case page_id % 7 when 5 then 'Umgesetzt von Studio ' || page_id when 6 then 'Kontor Agentur' end"
+
+
+@query("html_footer_credit", f"select page_id, {_CREDIT} as credit from pages")
 def html_footer_credit(spark, d):
-    p = _pages(spark, d).select("page_id", "site", documents.parsed(F.col("html")).alias("page"))
+    p = _stating(spark, d).select("page_id", "site", documents.parsed(F.col("html")).alias("page"))
     return p.select("page_id", documents.footer_credit(F.col("page"), F.col("site")).alias("credit"))
 
 
-@query("html_facts")
+@query(
+    "html_facts",
+    "select page_id, case when page_id % 7 = 0 then 12 end as description_length, case when page_id % 7 = 1 then 2 end as languages, page_id % 7 = 3 as article, page_id % 7 = 2 as product, case when page_id % 7 = 2 then page_id + 1 end::bigint as reviews,"
+    " case when page_id % 7 = 3 then 2 else 0 end as post_dates, case when page_id % 7 = 4 then 'GmbH & Co. KG' end as legal_form from pages",
+)
 def html_facts(spark, d):
     """Homepage facts: description, languages, schema types, reviews, post dates, legal form."""
     today = F.lit("2026-08-15").cast("date")
-    p = _pages(spark, d).select("page_id", "site", documents.parsed(F.col("html")).alias("page"))
+    p = _stating(spark, d).select("page_id", "site", documents.parsed(F.col("html")).alias("page"))
     p = p.select("*", documents.jsonld(F.col("page.jsonld")).alias("ld"))
     page, ld = F.col("page"), F.col("ld")
     return p.select(
         "page_id", documents.description_length(page).alias("description_length"), documents.languages(page).alias("languages"), documents.has_article(ld["types"]).alias("article"),
         F.array_contains(ld["types"], "Product").alias("product"), ld["reviews"].alias("reviews"), F.size(documents.post_dates(page, ld, today)).alias("post_dates"), documents.legal_form(page["text"]).alias("legal_form"),
     )
+
+
+@query(
+    "homepage_facts",
+    "with f as (select page_id as company_id, unnest([{'key': 'meta.description_length', 'n': case when page_id % 7 = 0 then 12.0::double end, 't': null::varchar}, {'key': 'i18n.hreflang_count', 'n': case when page_id % 7 = 1 then 2.0::double else 0.0::double end, 't': null},"
+    f" {{'key': 'agency.footer_credit', 'n': null, 't': {_CREDIT}}}, {{'key': 'reviews.trusted_shops', 'n': 0.0, 't': null}}, {{'key': 'reviews.count', 'n': case when page_id % 7 = 2 then (page_id + 1)::double end, 't': null}}, {{'key': 'shop.cart_absent', 'n': 1.0, 't': null}}]) as f from pages)"
+    " select company_id, f.key, f.n as value_num, f.t as value_text from f where f.n is not null or f.t is not null",
+)
+def homepage_facts(spark, d):
+    from attesta.operators import extraction
+
+    return extraction.homepage_facts(_stating(spark, d).select(F.col("page_id").alias("company_id"), "html", F.lit("example.com").alias("domain")))

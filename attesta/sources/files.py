@@ -38,8 +38,10 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line, blank lines skipped, a malformed line fails the read."""
-    return spark.read.schema(REQUEST_LOG).option("mode", "FAILFAST").json(path).where("issued_monotonic is not null")
+    """One JSON object a line in order of issue, blank lines skipped; a malformed line, or one without its time of issue, fails the read."""
+    rows = spark.read.schema(REQUEST_LOG).option("mode", "FAILFAST").json(path)
+    issued = F.when(F.col("issued_monotonic").isNull(), F.raise_error(F.lit("a request without issued_monotonic")).cast("double")).otherwise(F.col("issued_monotonic"))
+    return rows.withColumn("issued_monotonic", issued).orderBy("issued_monotonic")
 
 
 def bodies(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +49,11 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("body"))
 
 
+def stored(artifacts: DataFrame, found: DataFrame) -> DataFrame:
+    """``artifacts`` (with path) and the decoded ``text`` of their stored bodies, empty where the file is missing."""
+    return artifacts.join(found, "path", "left").withColumn("text", decoded(F.col("body"))).drop("body")
+
+
 def decoded(body: Column) -> Column:
     """A body's text; a missing body is empty, invalid bytes become U+FFFD."""
     return F.coalesce(F.make_valid_utf8(body.cast("string")), F.lit(""))
