@@ -22,6 +22,8 @@ HIDDEN = 12
 #: Labelled rows a language that training reads at most, and characters of each.
 SAMPLE = 512
 SAMPLE_CHARS = 1200
+#: Languages learned at most, those with the most labelled rows: a column of dirty labels does not become a model of its own size.
+LANGUAGES = 256
 TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, RATE = 64, 128, 260, 0.02
 #: Bytes of a window and windows of a batch in prediction; together they bound a task's memory.
 WINDOW, WINDOWS = 128, 2048
@@ -148,13 +150,15 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, steps: in
 
 
 def fit(documents: DataFrame, hidden: int = HIDDEN) -> Network | None:
-    """Train on at most ``SAMPLE`` labelled rows a language that are not held out; needs doc_id, text, lang.
+    """Train on at most ``SAMPLE`` labelled rows that are not held out of each of ``LANGUAGES`` languages; needs doc_id, text, lang.
 
     The sample is the row of least hash in each of ``SAMPLE`` hash classes a language: a map-side
     minimum over ids alone, then one scan for the chosen texts' slices.
     """
     digest = F.xxhash64("doc_id")
     rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    learned = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(learned))
     least = rows.groupBy("lang", F.pmod(digest, F.lit(SAMPLE))).agg(F.min(digest).alias("h")).select("h").collect()
     start = (F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1).cast("int")
     found = (

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -205,6 +207,10 @@ def speech(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(2)).repartition(3), rows
 
 
+def common_held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
 def test_langid(speech, monkeypatch):
     monkeypatch.setattr(langid, "TRAIN_STEPS", 120)
     df, rows = speech
@@ -215,6 +221,9 @@ def test_langid(speech, monkeypatch):
     assert got[1002]["lang_pred"] == "aa" and got[None]["held_out"] is False and 0 <= got[1002]["score"] <= 1
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    often = [lang for lang, _ in collections.Counter(lang for i, _, lang in rows[:400] if not common_held(i)).most_common(2)]
+    assert set(langid.fit(df).languages) == set(often)
 
 
 def test_predictions_against_a_loop(spark):
@@ -278,7 +287,7 @@ def test_quality(spark):
         docs.append((i, " ".join(rnd.choice(words) for _ in range(60)) + "." if good else " ".join([rnd.choice(words)] * 60)))
         if i % 2:
             labels.append((i, int(good)))
-    docs += [(5000, None), (5001, ""), (None, "x y")]
+    docs += [(5000, None), (5001, ""), (None, "x y"), *docs[:5]]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
     lab = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, quality int")
     net = quality.fit(d, lab)
@@ -290,6 +299,8 @@ def test_quality(spark):
     kept = quality.keep(d, net)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
     assert quality.score(d.limit(0), net).count() == 0
+    again = [r["score"] for r in quality.score(d, net).where("doc_id = 3").collect()]
+    assert len(again) == 2 and again[0] == again[1]
     assert quality.fit(d, lab.limit(0)) is None and {r["score"] for r in quality.score(d, None).collect()} == {quality.DEFAULT_PRIOR}
 
 
@@ -349,7 +360,5 @@ def test_class_prior():
 
 
 def test_held_out(spark):
-    import zlib
-
     got = spark.range(200).select("id", common.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)

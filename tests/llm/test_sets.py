@@ -5,6 +5,8 @@ from __future__ import annotations
 import collections
 import random
 import re
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,12 +167,40 @@ def test_pipeline_stages(spark, tmp_path):
             want = brute([(i, r["text"]) for i, r in before.items()])
             assert ids == {i for i, (_, c) in want.items() if c == i} and len(after) == len(ids)
         elif n == 2:
-            assert ids == set(before) and all("@" not in r["text"] for r in after) and sum("[EMAIL]" in r["text"] for r in after) == sum("@" in r["text"] for r in before.values())
+            plain = {i: re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", r["text"]) for i, r in before.items()}
+            assert {r["doc_id"]: r["text"] for r in after} == plain and any(t != before[i]["text"] for i, t in plain.items()) and all(r["n_chars"] == len(r["text"]) for r in after)
         elif n == 3:
             taken = {r["doc_id"]: r for r in mixing.mix(spark.read.parquet(f"{d}/out2")).collect()}
             assert collections.Counter(r["doc_id"] for r in after) == collections.Counter({i: k for i, r in taken.items() if r["size"] and (k := int(r["taken"] / r["size"] + 0.5))})
         else:
-            rows_in = spark.read.parquet(f"{d}/out3").count()
-            assert sum(r["start"] == 0 for r in after) == rows_in
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+            rows_in = spark.read.parquet(f"{d}/out3").collect()
+            tokens = {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1] for r in rows_in}
+            want = collections.Counter({i: sum(r["doc_id"] == i for r in rows_in) * len(t) for i, t in tokens.items()})
+            got = collections.Counter()
+            for r in after:
+                got[r["doc_id"]] += r["length"]
+                part = tokens[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+                assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part)) and r["doc_tokens"] == len(tokens[r["doc_id"]])
+            assert got == want and sum(r["start"] == 0 for r in after) == len(rows_in)
     assert corpus_pipeline.run(spark, d).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert [f.__module__ for f in (quality.keep, jaccard.deduplicate, pii.redact, mixing.apply, packing.pack)]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, blank texts, further columns; then no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string, `a.b` int"
+    rows = [(1, "one two three four five six", "en", "a", 27, "x", 1), (1, "one two three four five six", "en", "a", 27, "x", 1), (2, None, None, None, None, None, None), (3, "", "en", "a", 0, "", 0)]
+    rows += [(None, "a text without an id, mail x@y.de", None, None, None, None, None), (4, "seven eight nine ten eleven", None, None, None, None, None), (5, " \n", "en", "b", 2, None, None)]
+    for name, documents in (("some", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(documents, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        current, columns = spark.read.parquet(f"{d}/documents.parquet"), schema.replace("`", "").replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            current = stage(spark, current, d)
+            assert current.columns == columns
+        assert {r["text"] for r in current.collect()} <= {"one two three four five six", "a text without an id, mail [EMAIL]", "seven eight nine ten eleven"}
+        assert (corpus_pipeline.run(spark, d).count() > 0) == bool(documents)

@@ -224,6 +224,26 @@ def test_packing_round_trip(docs):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_quick_encoder_is_the_tokenizer():
+    """The same ids for random texts of odd white space, letters of all ranges and contractions; no quick encoder where a file asks for more."""
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tokenizer, encoder, rnd = Tokenizer.from_file(path), packing.Encoder(path), random.Random(9)
+    pieces = [*"the of and ing tion er re in ä é ß 12 007 don't I'll .. !! $$$ <| |> <|endoftext|> \u0130 \u1e9e \U0001f600 \u4e2d \u0661 \u00a0 \u2003 \u200d".split(" "), " ", "  ", "\n", " \n", "\t", *map(chr, range(0x20, 0x250, 7))]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 40))) for _ in range(4000)] + ["", " ", "x" * 30_000, " " * 30_000, "a" + "\n" * 25_000 + "b"]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder(texts)] == want
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    assert packing.quick_encoder(spec) is not None
+    assert packing.quick_encoder(spec | {"normalizer": {"type": "NFC"}}) is None and packing.quick_encoder(spec | {"pre_tokenizer": {"type": "Whitespace"}}) is None
+    assert packing.quick_encoder(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}) is None
+
+
 def test_packer_sum_of_squares():
     """Placements minimise the sum of squared counts of partially filled windows at every step."""
     rng = np.random.default_rng(1)
