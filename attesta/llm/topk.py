@@ -96,24 +96,24 @@ def search(ids: np.ndarray, docs: np.ndarray, query_ids: np.ndarray, asked: np.n
     return q, best_ids[q, j], best[q, j], scored
 
 
-INDEX = "shard int, block long, ids binary, weights binary, width int, single boolean"
+INDEX = "part int, block long, ids binary, weights binary, width int, single boolean"
 
 
 def index(rows: DataFrame, n: int) -> DataFrame:
-    """The forward index of usable ``rows``: one row per block of vectors with consecutive ids, dealt into ranges of
-    about ``vectors.SHARD`` vectors. Rows that repeat one id in plenty are parted by their vectors."""
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary()), ("width", pa.int32()), ("single", pa.bool_())])
+    """The forward index of usable ``rows``: one row per block of vectors with consecutive ids, in partitions (``part``)
+    by ranges of ids. Rows that repeat one id in plenty are parted by their vectors."""
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary()), ("width", pa.int32()), ("single", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, number, held = TaskContext.get().partitionId(), 0, []
+        place, number, held = TaskContext.get().partitionId(), 0, []
 
         def block(part: pa.Table) -> pa.RecordBatch:
             ids, x = vectors.matrix(part)
             w = weights(x)
             single = bool(np.abs(w).max(initial=0) < 2**24)
-            values = [shard, number, ids.astype("<i8").tobytes(), w.astype("<f4" if single else "<f8").tobytes(), w.shape[1], single]
+            values = [place, number, ids.astype("<i8").tobytes(), w.astype("<f4" if single else "<f8").tobytes(), w.shape[1], single]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -132,7 +132,7 @@ def index(rows: DataFrame, n: int) -> DataFrame:
 
 def _loaded(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, weights, block starts) of a range's blocks."""
-    rows = sorted(blocks.to_pylist(), key=lambda r: r["block"])
+    rows = sorted(blocks.to_pylist(), key=lambda r: (r["part"], r["block"]))
     ids = [np.frombuffer(r["ids"], "<i8") for r in rows]
     width = max(r["width"] for r in rows)
     parts = [np.frombuffer(r["weights"], "<f4" if r["single"] else "<f8").reshape(len(i), r["width"]).astype(np.float64) for i, r in zip(ids, rows, strict=True)]
@@ -171,9 +171,10 @@ def _found(embeddings: DataFrame, k: int) -> DataFrame:
     """``FOUND`` rows over all ranges."""
     rows = vectors.usable(embeddings)
     n, n_queries = vectors.counts(rows)
-    blocks = staged(index(rows, n), "blocks")
-    shards = blocks.agg(F.max("shard")).first()[0]
-    shards = 1 if shards is None else shards + 1
+    blocks, shards = staged(index(rows, n), "blocks"), max(1, -(-n // vectors.SHARD))
+    # Neighbouring partitions make a range of about ``vectors.SHARD`` vectors, however many partitions there are.
+    parts = (blocks.agg(F.max("part")).first()[0] or 0) + 1
+    blocks = blocks.withColumn("shard", F.floor(F.col("part") * shards / max(parts, shards)).cast("int"))
     queries = rows.where(F.col("vec_id") % vectors.QUERY_EVERY == 0)
     own = F.pmod(F.xxhash64("vec_id", F.lit("first")), F.lit(shards)).cast("int")
     first = staged(_searched(blocks, queries.withColumn("least", F.lit(None).cast("long")).withColumn("least_id", F.lit(None).cast("long")).withColumn("shard", own), ["shard"], k), "first")
