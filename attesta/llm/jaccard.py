@@ -240,13 +240,13 @@ def candidate_edges(documents: DataFrame, frequent: np.ndarray, common: np.ndarr
 def units(members: DataFrame) -> DataFrame:
     """(node, rep, comp, n) -> (node, rep, unit): every pair of compatible sizes in a component meets in some unit.
 
-    Small components are dealt by hash into units of about ``UNIT_TOKENS``; a larger one is split by size
-    class (a factor of 1.25, so that linked sets are in the same or in neighbouring classes), and a class
+    Components of up to ``UNIT_TOKENS`` are dealt by hash into units, so many that an average one holds an eighth
+    of that; a larger one is split by size class (a factor of 1.25, so that linked sets are in the same or in neighbouring classes), and a class
     pair that is still too large into pairs of hash blocks.
     """
     sizes = members.groupBy("comp").agg(F.sum("n").alias("tokens"))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    buckets = max(1, -(-2 * total // UNIT_TOKENS))
+    buckets = max(1, -(-8 * total // UNIT_TOKENS))
     sized = members.join(sizes, "comp")
     small = sized.where(F.col("tokens") <= UNIT_TOKENS).select("node", "rep", F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("string")).alias("unit"))
     top = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
