@@ -152,3 +152,19 @@ def frontier(documents: DataFrame, roots: DataFrame, site_of: str = "site", most
         known = known.unionByName(level.withColumn("depth", F.lit(depth)))
     nth = F.row_number().over(Window.partitionBy(site_of).orderBy("depth", "seq"))
     return known.withColumn("nth", nth).where(F.col("nth") <= most).select(site_of, "url", "depth", "nth")
+
+
+def required_paths(policies: DataFrame, agent: str) -> DataFrame:
+    """(company_id, authority, reason): policies that forbid what a reading needs, with the first thing they forbid.
+
+    That is the root, the sitemap, or every address at which an imprint may stand. Only a policy that was read
+    can forbid; one that could not be is a matter of the day and gives no row.
+    """
+    wanted = F.array(*[F.struct(F.lit(what).alias("what"), F.lit(path).alias("path")) for what, path in (("/", "/"), ("/sitemap.xml", "/sitemap.xml"), *(("imprint", p) for p in D.IMPRINT_PROBES))])
+    read = policies.where((D.robots_state(F.col("http_status")) == "parsed") & F.col("body").isNotNull()).select("company_id", "authority", F.col("body").cast("string").alias("body"), F.explode(wanted).alias("w"))
+    rules = D.robots_rules(F.col("body"), F.lit(agent), F.concat(F.lit("https://"), "authority", "w.path"))
+    asked = read.select("company_id", "authority", "w.what", rules["allowed"].alias("allowed")).groupBy("company_id", "authority", "what").agg(F.bool_or("allowed").alias("allowed"))
+    blocked = asked.groupBy("company_id", "authority").agg(F.collect_set(F.when(~F.col("allowed"), F.col("what"))).alias("b"))
+    order = [("/", "/ is disallowed"), ("/sitemap.xml", "/sitemap.xml is disallowed"), ("imprint", "every imprint path is disallowed")]
+    reason = F.coalesce(*[F.when(F.array_contains("b", what), F.lit(f"robots_disallowed: {text}")) for what, text in order])
+    return blocked.select("company_id", "authority", reason.alias("reason")).where("reason is not null")

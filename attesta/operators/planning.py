@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions import text
+from attesta.functions import text, urls
 from attesta.operators.ledger import SEARCH_PRICE
 
 MEASURE_CAP = 100
+#: Calls of one places search at most.
+PLACES_CALLS = 10
 
 
 def last_start(runs: DataFrame, stage: str) -> DataFrame:
@@ -85,3 +90,35 @@ def lighthouse(payload: Column) -> Column:
     code = F.get_json_object(payload, "$.lighthouseResult.runtimeError.code")
     fits = raw.between(0, 1)
     return F.struct(F.when(fits, F.bround(raw * 100, 0)).alias("score"), F.when(~F.coalesce(fits, F.lit(False)), F.coalesce(code, F.when(raw.isNull(), "no score").otherwise("score out of range"))).alias("error"))
+
+
+def paged(search: Callable[[str | None], str], most: int = PLACES_CALLS) -> tuple[list[str], int, bool]:
+    """(payloads, calls issued, whether the cap ended it) of a search that goes on while a page names the next.
+
+    A call counts as issued before its outcome is known; one that fails ends the search with its error.
+    """
+    payloads: list[str] = []
+    token, calls = None, 0
+    while calls < most:
+        calls += 1
+        payloads.append(search(token))
+        token = json.loads(payloads[-1]).get("nextPageToken") or None
+        if token is None:
+            return payloads, calls, False
+    return payloads, calls, True
+
+
+def found_places(payloads: DataFrame, known: DataFrame, region: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new companies, one report row) out of (page, payload) rows of a places search.
+
+    The first place of a domain counts. Its country is that of its address, else of its domain, else ``region``.
+    Places without a website and those with an unusable one are counted, not kept.
+    """
+    from attesta.operators.verification import address_parts
+
+    rows = payloads.select("page", F.posexplode(places(F.col("payload"))).alias("nth", "p")).select("page", "nth", "p.*")
+    rows = rows.withColumn("domain", urls.normalised_domain(F.col("website"))).withColumn("a", address_parts(F.col("address")))
+    first = rows.where("domain is not null").groupBy("domain").agg(F.min(F.struct("page", "nth", "name", "a")).alias("f"))
+    country = F.coalesce("f.a.country", urls.country(F.col("domain"), F.lit(None).cast("string") if region is None else region))
+    fresh = first.join(known.select("domain"), "domain", "left_anti").select("domain", F.nullif(F.col("f.name"), F.lit("")).alias("legal_name"), "f.a.city", "f.a.postal_code", country.alias("country"))
+    return fresh, rows.agg(F.count_if(F.coalesce("website", F.lit("")) == "").alias("no_website"), F.count_if((F.col("website") != "") & F.col("domain").isNull()).alias("unusable"))

@@ -120,3 +120,27 @@ def blog_location(sitemap_urls: Column, links: Column, domain: Column) -> Column
     shape = rf"(?i)^(/(?:[a-z]{{2}}(?:-[a-z]{{2}})?/)?(?:{words}))(?:/|$)"
     own = F.filter(F.concat(F.array_sort(sitemap_urls), links), lambda u: urls.same_site(u, domain))
     return F.get(F.filter(F.transform(own, lambda u: F.regexp_extract(urls.path(u), shape, 1)), lambda p: p != ""), 0)
+
+
+def blog_index(observed: DataFrame) -> DataFrame:
+    """(company_id, domain, blog_path, url, in_sitemap) -> the address under the blog's path that is its index.
+
+    The least deep of what was seen there; at one depth a link of the homepage goes before the sitemap's,
+    then the smaller address. Nothing is made up: without a URL under the path there is no row.
+    """
+    path, bare = urls.path(F.col("url")), F.regexp_replace("blog_path", "/+$", "")
+    under = (F.regexp_replace(path, "/+$", "") == bare) | path.startswith(F.concat(bare, F.lit("/")))
+    rank = F.struct(urls.segment_depth(path).alias("depth"), F.col("in_sitemap").cast("int").alias("late"), F.col("url").alias("url"))
+    return observed.where(urls.same_site(F.col("url"), F.col("domain")) & under).groupBy("company_id").agg(F.min(rank).alias("r")).select("company_id", "r.url")
+
+
+def located_blogs(by_path: DataFrame, by_anchor: DataFrame) -> DataFrame:
+    """(company_id, path, url, basis): a blog named by a path, else one named by a link's text.
+
+    ``by_path``: company_id, path (null for none). ``by_anchor``: company_id, domain, url. The latter gives a
+    path prefix only on the company's own host and below its root.
+    """
+    own = F.when(urls.host(F.col("url")) == urls.host(F.concat(F.lit("https://"), "domain")), F.nullif(F.regexp_replace(urls.path(F.col("url")), "/+$", ""), F.lit("")))
+    first = by_path.where("path is not null").select("company_id", "path", F.lit(None).cast("string").alias("url"), F.lit("path_vocabulary").alias("basis"))
+    second = by_anchor.where("url is not null").join(first, "company_id", "left_anti").select("company_id", own.alias("path"), "url", F.lit("anchor_text").alias("basis"))
+    return first.unionByName(second)

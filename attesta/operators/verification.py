@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions import text
+from attesta.functions import text, urls
 
 # First labels of domains that are no shops.
 MARKETPLACES = (
@@ -96,3 +96,28 @@ def shops(answer: Column) -> Column:
     as_texts = F.from_json(F.try_variant_get(found, "$.shops", "string"), "array<string>")
     named = F.transform(as_objects, lambda o: F.coalesce(o["domain"], o["url"]))
     return F.when(found.isNull(), None).when(F.size(F.array_compact(named)) > 0, F.array_compact(named)).otherwise(F.coalesce(F.filter(as_texts, lambda t: ~t.startswith("{")), F.array().cast("array<string>")))
+
+
+def discovered(answers: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new companies, report of (measure, n)) out of (call, answer) rows, a call being one paid answer.
+
+    A company: domain, legal_name, country, the first spelling by call and place. Marketplaces and unusable
+    domains are counted, not kept, as are answers that cannot be read; ``known``: domain of companies that exist.
+    """
+    kind = "array<struct<domain:string,name:string>>"
+    parsed = F.try_parse_json(text.json_object(F.col("answer")))
+    listed = F.from_json(F.try_variant_get(parsed, "$.shops", "string"), "array<string>")
+    as_objects = F.transform(listed, lambda x: F.when(x.startswith("{"), F.from_json(x, "domain string, name string")).otherwise(F.struct(x.alias("domain"), F.lit("").alias("name"))))
+    rows = answers.select("call", as_objects.cast(kind).alias("shops"))
+    shops = rows.select("call", F.posexplode("shops").alias("place", "s")).select("call", "place", F.trim("s.domain").alias("raw"), F.nullif(F.trim("s.name"), F.lit("")).alias("name")).where("coalesce(raw, '') <> ''")
+    shops = shops.withColumn("domain", urls.normalised_domain(F.col("raw")))
+    usable = shops.where(F.col("domain").isNotNull() & ~marketplace(F.col("domain")))
+    first = usable.groupBy("domain").agg(F.min(F.struct("call", "place", "name")).alias("f"))
+    fresh = first.join(known.select("domain"), "domain", "left_anti").select("domain", F.col("f.name").alias("legal_name"), urls.country(F.col("domain"), F.lit(None).cast("string")).alias("country"))
+
+    def report(of: DataFrame, **counts: Column) -> DataFrame:
+        sums = of.agg(*[c.alias(n) for n, c in counts.items()])
+        return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("n")) for n in counts])).alias("r")).select("r.*")
+
+    calls = report(rows, calls=F.count("*"), unparsed=F.count_if(F.col("shops").isNull()))
+    return fresh, calls.unionByName(report(shops, unusable=F.count_if(F.col("domain").isNull()), marketplaces=F.count_if(marketplace(F.col("domain")))))

@@ -140,3 +140,32 @@ def test_imprints_and_blogs(spark):
     assert {r["company_id"]: r["url"] for r in extraction.blog_anchor(anchors).collect()} == {1: "https://blog.a.de/"}
     places = spark.createDataFrame([(["https://a.de/z", "https://a.de/de/ratgeber/x"], ["https://a.de/blog/y"]), ([], ["https://a.de/newsletter"])], "s array<string>, l array<string>")
     assert [r["x"] for r in places.select(sampling.blog_location(F.col("s"), F.col("l"), F.lit("a.de")).alias("x")).collect()] == ["/de/ratgeber", None]
+
+
+def test_blog_index_and_location(spark):
+    rows = [
+        (1, "a.de", "/magazin", "https://a.de/magazin/x/y", False), (1, "a.de", "/magazin", "https://a.de/magazin/b", True), (1, "a.de", "/magazin", "https://a.de/magazin/c/", False), (1, "a.de", "/magazin", "https://a.de/magazine", False),
+        (2, "b.de", "/blogs", "https://b.de/blogs/", True), (2, "b.de", "/blogs", "https://x.de/blogs", False), (3, "c.de", "/blog", "https://c.de/shop", True),
+    ]
+    got = sampling.blog_index(spark.createDataFrame(rows, "company_id int, domain string, blog_path string, url string, in_sitemap boolean"))
+    assert {r["company_id"]: r["url"] for r in got.collect()} == {1: "https://a.de/magazin/c/", 2: "https://b.de/blogs/"}
+    by_path = spark.createDataFrame([(1, "/blog"), (2, None), (3, None)], "company_id int, path string")
+    anchors = spark.createDataFrame([(1, "a.de", "https://a.de/x"), (2, "b.de", "https://blog.b.de/"), (3, "c.de", "https://www.c.de/service/ratgeber/"), (4, "d.de", None)], "company_id int, domain string, url string")
+    got = {r["company_id"]: (r["path"], r["url"], r["basis"]) for r in sampling.located_blogs(by_path, anchors).collect()}
+    assert got == {1: ("/blog", None, "path_vocabulary"), 2: (None, "https://blog.b.de/", "anchor_text"), 3: ("/service/ratgeber", "https://www.c.de/service/ratgeber/", "anchor_text")}
+
+
+def test_required_paths(spark):
+    rows = [
+        (1, "a.de", 200, "User-agent: *\nDisallow: /"), (2, "b.de", 200, "User-agent: *\nDisallow: /sitemap.xml"), (3, "c.de", 200, "User-agent: *\n" + "".join(f"Disallow: {p}\n" for p in D.IMPRINT_PROBES)),
+        (4, "d.de", 200, "User-agent: *\nDisallow: /impressum.html"), (5, "e.de", 503, None), (6, "f.de", 404, None), (7, "g.de", 200, ""),
+    ]
+    got = {r["company_id"]: r["reason"] for r in extraction.required_paths(spark.createDataFrame(rows, "company_id int, authority string, http_status int, body string"), "bot").collect()}
+    assert got == {1: "robots_disallowed: / is disallowed", 2: "robots_disallowed: /sitemap.xml is disallowed", 3: "robots_disallowed: every imprint path is disallowed"}
+
+
+def test_discovery(spark):
+    answers = [(1, 'Here: {"shops": [{"domain": "https://www.Shop-A.de/x", "name": "A"}, {"domain": "amazon.de"}, "b.at", {"domain": "nonsense"}, {"name": "no domain"}]} sources [1]'), (2, '{"shops": ["shop-a.de", "c.li"]}'), (3, "no answer"), (4, '{"shops": []}'), (5, '{"other": 1}')]
+    fresh, report = verification.discovered(spark.createDataFrame(answers, "call int, answer string"), spark.createDataFrame([("b.at",)], "domain string"))
+    assert {tuple(r) for r in fresh.collect()} == {("shop-a.de", "A", "DE"), ("c.li", None, None)}
+    assert {r["measure"]: r["n"] for r in report.collect()} == {"calls": 5, "unparsed": 2, "unusable": 1, "marketplaces": 1}

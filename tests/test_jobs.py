@@ -147,3 +147,12 @@ def test_log_verdict(spark):
     flight, none = spark.createDataFrame([(2,)], "max_in_flight int"), spark.createDataFrame([], "x int")
     assert logs.verdict(spaced, flight, none).first()["ok"] and not logs.verdict(spaced.limit(0), flight, none).first()["ok"]
     assert not logs.verdict(spaced, spark.createDataFrame([(3,)], "max_in_flight int"), none).first()["ok"] and not logs.verdict(spaced, flight, spark.createDataFrame([(1,)], "x int")).first()["ok"]
+
+
+def test_places_search(spark):
+    pages = {None: '{"places":[{"displayName":{"text":"A"},"websiteUri":"https://www.a.com/","formattedAddress":"Weg 1, 53111 Bonn, Deutschland"},{"displayName":{"text":"N"}}],"nextPageToken":"t"}', "t": '{"places":[{"displayName":{"text":"A2"},"websiteUri":"http://a.com/x"},{"displayName":{"text":"B"},"websiteUri":"b.at"},{"websiteUri":"localhost"}]}'}
+    assert planning.paged(pages.__getitem__) == ([pages[None], pages["t"]], 2, False) and planning.paged(pages.__getitem__, most=1)[1:] == (1, True)
+    rows = spark.createDataFrame(list(enumerate(planning.paged(pages.__getitem__)[0])), "page int, payload string")
+    fresh, report = planning.found_places(rows, spark.createDataFrame([("x.de",)], "domain string"), F.lit("CH"))
+    assert {tuple(r) for r in fresh.collect()} == {("a.com", "A", "Bonn", "53111", "DE"), ("b.at", "B", None, None, "AT")}
+    assert tuple(report.first()) == (1, 1)
