@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     one process (tests): elsewhere the executors would not see it, and the operator refuses to run."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(found)
