@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go_of_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nobody refers to any more deleted now, not when the driver's memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows and bytes of the Arrow batches that pass between the JVM and Python workers; a single longer text passes alone.
 BATCH_ROWS, BATCH_BYTES = 2048, "4m"
 

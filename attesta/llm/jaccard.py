@@ -2,11 +2,13 @@
 
 Candidates. In any common order of tokens, the first ``k`` tokens that two linked sets share are among the
 first ``n - ceil(0.8 n) + k`` of each. With ``k`` growing with the set, a pair must meet in ``k`` lists, which
-chance and shared passages do not bring about. The order is: rare tokens by hash, then frequent ones by
-hash; tokens count as frequent if several sets of one partition hold them and enough do in all. The order
+chance and shared passages do not bring about. The order is: rare tokens, then frequent ones, each from many
+bytes to few (short words are common, so shingles of them meet by chance, the more the larger the corpus), then
+by hash; tokens count as frequent if several sets of one partition hold them and enough do in all. The order
 decides only cost, never results, so the list of frequent tokens may be (and is) bounded. Pairs are counted
-over the lists of up to ``SHORT`` sets; in a longer list, runs of compatible sizes become candidate edges
-as they are, so that no list is squared. A token known to be in many sets is split where it is met: the sets
+over the lists of up to ``SHORT`` sets, which are first brought together by their smallest set, so that the many
+lists of one group of near copies add up to one row a pair before pairs are shuffled; in a longer list, runs of
+compatible sizes become candidate edges as they are, so that no list is squared. A token known to be in many sets is split where it is met: the sets
 of one batch form a list of their own, and only the smallest and the largest of a size class go on into the
 common list, so that no task gets a list that grows with the corpus. Connected components of the candidate edges become units of work;
 large components are split by size class and then into block pairs, so that no task grows with the corpus.
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import lean, let_go, sized, staged, table, unused
+from attesta.llm.common import lean, let_go, let_go_of_shuffles, sized, staged, table, unused
 from attesta.llm.components import components
-from attesta.llm.shingles import mixed, shingle_sets
+from attesta.llm.shingles import measured_sets, mixed, shingle_sets
 
 #: Linked if 100 * |intersection| >= 80 * |union|.
 PERCENT = 80
@@ -42,6 +44,8 @@ FREQUENT, FREQUENT_SUM, COUNTED = 1 << 20, 4, 1 << 16
 COUNT_AT = 500_000
 #: Sets of a list whose pairs are counted one by one, and tokens of a set for each list in which a partner must be met.
 SHORT, PER_MEETING = 64, 30
+#: Bytes from which on shingles count as equally long in the common order.
+LONGEST = (1 << 15) - 1
 #: Tokens of a unit of work, about.
 UNIT_TOKENS = 1_000_000
 #: What stands for a null id among the representatives of sets.
@@ -87,11 +91,11 @@ def among(tokens: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return chosen[np.minimum(np.searchsorted(chosen, tokens), len(chosen) - 1)] == tokens
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def prefix(tokens: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted ``tokens``, whose shingles have ``sizes`` bytes, in the common order."""
     n = len(tokens)
-    size = n - (-(-PERCENT * n // 100)) + meetings(n)
-    often = among(tokens, frequent)
-    return np.concatenate([tokens[~often], tokens[often]])[:size]
+    place = LONGEST - np.minimum(sizes, LONGEST) + (LONGEST + 1) * among(tokens, frequent)
+    return tokens[np.argsort(place.astype(np.uint16), kind="stable")[: n - (-(-PERCENT * n // 100)) + meetings(n)]]
 
 
 def split_lists(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, salt: int):
@@ -112,13 +116,13 @@ def split_lists(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, salt:
     return np.concatenate([own, tokens[edge]]), np.concatenate([nodes, nodes[edge]]), np.concatenate([sizes, sizes[edge]])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int, sets=shingle_sets) -> Iterator[tuple[pa.RecordBatch, list]]:
     let_go()
     with np.errstate(over="ignore"):
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                yield part, shingle_sets(part.column(column).to_pylist())
+                yield part, sets(part.column(column).to_pylist())
 
 
 def nodes(documents: DataFrame, names: Names) -> DataFrame:
@@ -203,16 +207,16 @@ def candidate_edges(documents: DataFrame, frequent: np.ndarray, common: np.ndarr
         often, shared = hot.value
         seen: set[int] = set()  # equal sets of a partition enter once
         salt = (TaskContext.get().partitionId() + 1) << 32
-        for _, sets in _texts(batches, 0):
-            new = {names(s): s for s in sets if len(s)}
+        for _, sets in _texts(batches, 0, measured_sets):
+            new = {names(s): (s, b) for s, b in sets if len(s)}
             new = {k: s for k, s in new.items() if k not in seen}
             seen.update(new)
             salt += 1
             if new:
-                parts = [prefix(s, often) for s in new.values()]
+                parts = [prefix(s, b, often) for s, b in new.values()]
                 times = [len(t) for t in parts]
                 tokens, node = np.concatenate(parts), np.repeat(np.array(list(new), np.int64), times)
-                sizes = np.repeat(np.array([len(s) for s in new.values()], np.int32), times)
+                sizes = np.repeat(np.array([len(s) for s, _ in new.values()], np.int32), times)
                 long = among(tokens, shared)
                 for whole, some in ((False, (tokens[~long], node[~long], sizes[~long])), (True, split_lists(tokens[long], node[long], sizes[long], salt * 64) if long.any() else None)):
                     if some is not None and len(some[0]):
@@ -223,7 +227,7 @@ def candidate_edges(documents: DataFrame, frequent: np.ndarray, common: np.ndarr
     is_long = F.col("long") | (F.col("sets") > SHORT)
     # Short lists: bounded arrays, all pairs of compatible sizes, smaller set first.
     members = F.array_sort(F.collect_set(F.struct("n", "node")))
-    short = lists.where(~is_long).groupBy("token").agg(members.alias("m"))
+    short = lists.where(~is_long).groupBy("token").agg(members.alias("m")).where("size(m) > 1").select("m").repartition(F.col("m")[0]["node"])
     pairs = F.flatten(
         F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SHORT)), lambda y: 100 * x["n"] >= PERCENT * y["n"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("n"))))
     )
@@ -428,8 +432,8 @@ def _grouped(documents: DataFrame, name_bits: int = 64) -> DataFrame:
     names = Names(clashes(found), name_bits)
     if names.met:
         found = found.withColumn("node", F.when(F.col("node").isin(list(names.met)), F.col("second")).otherwise(F.col("node")))
-    edges = candidate_edges(documents, *frequent_tokens(documents, names), names)
-    groups = staged(components(edges), "candidates")
+    groups = staged(components(candidate_edges(documents, *frequent_tokens(documents, names), names)), "candidates")
+    let_go_of_shuffles(documents.sparkSession)
     info = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     members = info.join(groups.select("node", F.col("root").alias("comp")), "node")
     members = members.withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))

@@ -35,8 +35,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text)."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words in order, their bytes, number of words of each text)."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     edge = np.diff(np.concatenate([[True], _SPACE[data]]).astype(np.int8))
@@ -45,7 +45,7 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     word = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return word, np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), minlength=len(texts))
+    return word, end - start, np.bincount(np.searchsorted(np.cumsum(sizes), start, side="right"), minlength=len(texts))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -60,35 +60,48 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
         return mixed(words[:-1] * _STEP[0] + words[1:] * _STEP[1])
 
 
-def _batch(texts: list[bytes]) -> list[np.ndarray]:
-    word, counts = _words(texts)
-    grams = np.zeros(len(word), np.uint64)
+def _batch(texts: list[bytes], measure: bool) -> list:
+    word, size, counts = _words(texts)
+    grams, total = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
     if len(word) >= N:
         grams = sum((word[i : len(word) - N + 1 + i] * _STEP[i] for i in range(N)), np.uint64(0))
         grams = mixed(grams)
+        if measure:
+            total = sum(size[i : len(word) - N + 1 + i] for i in range(N))
     out, at = [], 0
     for n in counts:
-        if n >= N:
+        if n >= N and measure:
+            tokens, first = np.unique(grams[at : at + n - N + 1], return_index=True)
+            out.append((tokens, total[at + first]))
+        elif n >= N:
             out.append(np.unique(grams[at : at + n - N + 1]))
-        elif n:
-            out.append(mixed((word[at : at + n] * _STEP[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            tokens = mixed((word[at : at + n] * _STEP[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) if n else np.zeros(0, np.uint64)
+            out.append((tokens, size[at : at + n].sum(keepdims=True)[: len(tokens)]) if measure else tokens)
         at += n
     return out
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: five words each, the whole sequence if there are fewer, none without words."""
+    return _sets(texts, False)
+
+
+def measured_sets(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ``shingle_sets``, each with the bytes of its shingles' words, which depend on the shingle alone."""
+    return _sets(texts, True)
+
+
+def _sets(texts: list[str | None], measure: bool) -> list:
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     out, part, size = [], [], 0
     with np.errstate(over="ignore"):
         for d in data:
             if part and size + len(d) > BATCH_BYTES:
-                out += _batch(part)
+                out += _batch(part, measure)
                 part, size = [], 0
             part.append(d)
             size += len(d) + 1
         if part:
-            out += _batch(part)
+            out += _batch(part, measure)
     return out

@@ -8,12 +8,13 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attesta.llm import components, jaccard, mixing, packing, pii, quality
-from attesta.llm.shingles import shingle_sets
+from attesta.llm.shingles import measured_sets, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -204,3 +205,20 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
             assert current.columns == columns
         assert {r["text"] for r in current.collect()} <= {"one two three four five six", "a text without an id, mail [EMAIL]", "seven eight nine ten eleven"}
         assert (corpus_pipeline.run(spark, d).count() > 0) == bool(documents)
+
+
+def test_texts_that_share_common_words_are_no_candidates(spark):
+    """Texts of their own that share a run of short words meet in no list: shingles of short words stand last."""
+    r, short = random.Random(5), "of to in is it a".split()
+    texts = [" ".join([f"ownword{i}number{j}" for j in range(20)] + r.choice([short, short[::-1], short[3:] + short[:3]])) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    none = np.zeros(0, np.uint64)
+    assert jaccard.candidate_edges(df, none, none, jaccard.Names()).count() == 0
+    assert {row["component_id"] for row in jaccard.join(df).collect()} == set(range(40))
+
+
+def test_measured_shingles():
+    texts = ["A bb c d e ff g", "", None, "x yy", "à b  c\nd e", "of to in is it " * 40]
+    for tokens, (same, sizes) in zip(shingle_sets(texts), measured_sets(texts), strict=True):
+        assert tokens.tolist() == same.tolist() and len(sizes) == len(same)
+    assert sorted(measured_sets(texts)[0][1].tolist()) == [6, 6, 7] and measured_sets(texts)[3][1].tolist() == [3] and measured_sets(texts)[4][1].tolist() == [6]
