@@ -230,18 +230,18 @@ def footer_credit(page: Column, domain: Column) -> Column:
     return F.get(F.array_compact(F.transform(page["footers"], lambda text, i: F.coalesce(phrase(text), label(i)))), 0)
 
 
-def provider_block(text: Column) -> Column:
-    """The text after the first provider heading that has a postal address within its window."""
+def provider_block(text: Column, address: str = ADDRESS, provider: str = PROVIDER) -> Column:
+    """The text after the first ``provider`` heading that has a postal ``address`` within its window."""
     def windows(headings: Column, gaps: Column) -> Column:
         # A heading ends where it and all before it, with the gaps between, add up to; a window may run over the next one.
         ends = F.transform(headings, lambda _, i: F.aggregate(F.slice(F.arrays_zip(headings.alias("h"), F.slice(gaps, 1, F.size(headings)).alias("g")), 1, i + 1), F.lit(0), lambda a, z: a + F.length(z["h"]) + F.length(z["g"])))
         return F.transform(ends, lambda e: F.substring(text, e + 1, F.lit(PROVIDER_CHARS)))
 
     def first(headings: Column) -> Column:
-        found = let(F.split(text, PROVIDER, -1), lambda gaps: F.get(F.filter(windows(headings, gaps), lambda w: F.regexp_like(w, F.lit(ADDRESS))), 0))
+        found = let(F.split(text, provider, -1), lambda gaps: F.get(F.filter(windows(headings, gaps), lambda w: F.regexp_like(w, F.lit(address))), 0))
         return F.when(F.size(headings) > 0, found)
 
-    return let(F.regexp_extract_all(text, F.lit(PROVIDER), F.lit(0)), first)
+    return let(F.regexp_extract_all(text, F.lit(provider), F.lit(0)), first)
 
 
 def legal_form(text: Column) -> Column:

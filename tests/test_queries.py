@@ -53,3 +53,15 @@ def test_pushdown(spark):
     assert "o_orderdate" not in plan  # only what the counts read is scanned
     profile = registry.QUERIES["ranked_scores"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in profile and "CartesianProduct" not in profile
+
+
+def test_pattern_presence_of_letters_beyond_ascii(spark, tmp_path):
+    """Address and headings mean in Spark what they mean in the SQL, next to letters and white space beyond ASCII too."""
+    import duckdb
+
+    texts = ["x 8114 Réréch a@b.de", "é12345 Bonn a@b.de", "12345\x0bBonn a@b.de", "12345\u00a0Bonn", "12345 Bonn licenſe", "Gesetzliche\x0bAnbieterkennung 53111 Bonn +49 228 1234567", None]
+    spark.createDataFrame([(3 * i + k, t) for i, t in enumerate(texts) for k in (1, 2)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["pattern_presence"](spark, str(tmp_path)).select("pattern", "whole", "block").collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(f"select pattern, whole, block from ({registry.ORACLES['pattern_presence']})").fetchall())
